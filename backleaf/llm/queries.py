@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backleaf.llm import rules
+from backleaf.llm import rules, simhash
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -47,3 +47,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * n_capitals > 4 * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b
 """
+
+
+@registered
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.duplicate_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
