@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backleaf.llm import rules, simhash
+from backleaf.llm import packing, rules, simhash, token_output
+from backleaf.llm.common import new_folder
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -53,3 +54,15 @@ FROM b
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@registered
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op10_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "token-matrices")
+    token_output.write(table(spark, sf_dir, "documents"), path)
+    return token_output.segments(spark, path)
