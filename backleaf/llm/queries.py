@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backleaf.llm import packing, rules, simhash, token_output
+from backleaf.llm import mixing, packing, rules, simhash, token_output
 from backleaf.llm.common import new_folder
 
 QUERIES = {}
@@ -66,3 +66,10 @@ def op10_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-matrices")
     token_output.write(table(spark, sf_dir, "documents"), path)
     return token_output.segments(spark, path)
+
+
+@registered
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
