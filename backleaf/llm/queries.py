@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backleaf.llm import mixing, packing, rules, simhash, token_output
+from backleaf.llm import chat, mixing, packing, rules, simhash, token_output
 from backleaf.llm.common import new_folder
 
 QUERIES = {}
@@ -73,3 +73,47 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+#: A conversation that op2 formats beside the table's, for its control strings.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@registered
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    out = chat.format_chats(turns.unionByName(tricky))
+    back = F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    out = out.select("conv_id", "valid", "error_turn", "formatted", back.alias("back"), chat.loss_text(F.col("segments")).alias("loss_text"))
+    return out.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("back", ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.coalesce("error_turn", F.lit(-1).cast("long")).alias("error_turn"),
+    )
+
+
+ORACLE_SQL["op2_chat_formatting"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, lag(role, 1, '') OVER w AS prior, row_number() OVER w - 1 AS i,
+             length(replace(replace(replace(text, '\', '\e'), '<turn:', '\oturn:'), '</turn>', '\c/turn>')) AS n,
+             length(replace(replace(replace(replace(role, '\', '\e'), '<turn:', '\oturn:'), '</turn>', '\c/turn>'), '>', '\m')) AS m
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, CASE WHEN prior IN ('', 'assistant') AND role = 'user' OR prior = '' AND role = 'system' AND i = 0
+                      OR prior = 'system' AND role = 'user' OR prior = 'user' AND role = 'assistant' THEN NULL ELSE i END AS bad FROM e)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(6 + m + 2 + n + 8)::BIGINT AS formatted_chars,
+       min(bad) IS NULL AND max_by(role, i) = 'assistant' AS valid,
+       coalesce(min(bad), CASE WHEN max_by(role, i) <> 'assistant' THEN count(*) END, -1) AS error_turn
+FROM f GROUP BY conv_id
+"""
