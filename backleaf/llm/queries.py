@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backleaf.llm import chat, mixing, packing, rules, simhash, token_output
+from backleaf.llm import chat, licenses, mixing, packing, rules, simhash, token_output
 from backleaf.llm.common import new_folder
 
 QUERIES = {}
@@ -117,3 +117,12 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(min(bad), CASE WHEN max_by(role, i) <> 'assistant' THEN count(*) END, -1) AS error_turn
 FROM f GROUP BY conv_id
 """
+
+
+@registered
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text_digest", "license_id", F.array_join("notice_ids", ",").alias("notice_ids"))
+
+
+ORACLE_SQL["op1_license_scan"] = licenses.scan_sql()
