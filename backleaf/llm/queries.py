@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backleaf.llm import chat, classifier, licenses, mixing, packing, rules, simhash, token_output
+from backleaf.llm import ann, chat, classifier, licenses, mixing, packing, rules, simhash, token_output
 from backleaf.llm.common import new_folder
 
 QUERIES = {}
@@ -132,3 +132,8 @@ ORACLE_SQL["op1_license_scan"] = licenses.scan_sql()
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classifier.classify(docs, table(spark, sf_dir, "labels"), keep_columns=("doc_id",))
+
+
+@registered
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
