@@ -13,8 +13,9 @@ covers every document.
 
 Defined results: a null or empty text has features of zero; null metadata has buckets of its own;
 a document with labels that disagree is not used for fitting; without labels of both classes every
-document gets score 1 and is kept; repeated rows are scored alike; an empty table gives an empty result; the
-input's other columns are passed on, and a column whose name the result needs raises an error.
+document gets score 1 and is kept; repeated rows are scored alike; an empty table gives an empty
+result; the input's columns are passed on first, in their order, and one whose name the result
+needs gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from backleaf.llm.common import stage
+from backleaf.llm.common import beside, stage
 
 _SHAPE = 8
 TEXT_WIDTH = 256 + _SHAPE
@@ -211,10 +212,9 @@ def classify(
     """
     columns = ("text_score", "meta_score", "score", "kept")
     keep = [f for f in df.schema.fields if keep_columns is None or f.name in keep_columns]
-    if clash := set(columns) & {f.name.lower() for f in keep}:
-        raise ValueError(f"columns that the result needs are taken: {sorted(clash)}")
+    names = beside([f.name for f in keep], columns)
     model = fit(df if training is None else training, labels, id_col, text_col, label_col, meta_cols, length_col, labelled_rows, pool_rows, rounds, seed)
-    schema = T.StructType(keep + [T.StructField(c, T.BooleanType() if c == "kept" else T.DoubleType()) for c in columns])
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, keep)] + [T.StructField(c, T.BooleanType() if c == "kept" else T.DoubleType()) for c in columns])
 
     def scored(batches):
         import pyarrow as pa

@@ -57,14 +57,22 @@ def unit_hash(*columns: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """wanted, with underscores added until df (names compared without case) has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
+def free_name(wanted: str, taken: list[str]) -> str:
+    """wanted, with underscores added until it is not among taken (compared without case)."""
+    lower = {c.lower() for c in taken}
+    while wanted.lower() in lower:
         wanted += "_"
     return wanted
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns."""
-    return df.select(*[df[n] for n in names])
+def beside(names: list[str], made: tuple[str, ...] | list[str]) -> list[str]:
+    """What an input's columns are called in a result that adds the columns `made`: as before, or with underscores where made has the name."""
+    out: list[str] = []
+    for i, n in enumerate(names):
+        out.append(free_name(n, [*made, *out, *names[i + 1 :]]) if n.lower() in {m.lower() for m in made} else n)
+    return out
+
+
+def restored(out: DataFrame, names: list[str]) -> DataFrame:
+    """The first columns of out under the given names, the others gone."""
+    return out.select(*[out[c].alias(n) for c, n in zip(out.columns, names)])

@@ -9,8 +9,8 @@ which shows files that carry a licence line below their own content.
 All of it is DataFrame and SQL functions, with one definition (as SQL) for corpus and known texts.
 
 Defined results: a null or empty text, or one of signs only, matches nothing and has the digest of the empty
-text; repeated rows all come back; an empty table gives an empty result; the input's other columns
-are passed on, and a column whose name the result needs raises an error.
+text; repeated rows all come back; an empty table gives an empty result; the input's columns are passed
+on first, in their order, and one whose name the result needs gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from backleaf.llm.common import beside
+
 # Spellings that count as equal, from the matching guidelines for licence lists.
 EQUIVALENT = (
     ("https", "http"),
@@ -182,8 +184,6 @@ def scan(df: DataFrame, text_col: str = "text", licenses: tuple[tuple[str, str],
     licenses and notices are lists in the caller's memory, so their digests may be broadcast whole.
     """
     made = ("text_digest", "license_id", "notice_ids")
-    if clash := set(made) & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns that the result needs are taken: {sorted(clash)}")
     line_ids: dict[str, str] = {x.digest: x.license_id for x in known(df.sparkSession, notices).collect()}
     longest = max((len(t) for _, t in notices), default=0)
     own = [f"c{i}" for i in range(len(df.columns))]
@@ -194,7 +194,7 @@ def scan(df: DataFrame, text_col: str = "text", licenses: tuple[tuple[str, str],
     ids = F.array_sort(F.array_distinct(F.transform(F.array_intersect(found, F.array(*map(F.lit, line_ids))), lambda d: F.element_at(table, d))))
     by_digest = F.broadcast(known(df.sparkSession, licenses).withColumnRenamed("digest", "text_digest"))
     rows = rows.select(*own, "text_digest", ids.alias("notice_ids")).join(by_digest, "text_digest", "left")
-    return rows.select(*[F.col(n).alias(c) for c, n in zip(df.columns, own)], *made)
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(beside(df.columns, made), own)], *made)
 
 
 def canonical_sql(text: str) -> str:

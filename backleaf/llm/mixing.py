@@ -18,8 +18,8 @@ spreads a large source over its blocks.
 Defined results: a null text has no words; documents without words are not taken; a null source is
 a source of its own, last in the order; a null id is like any other; rows alike in all columns are
 taken like any others, and which of them the cut falls on does not show; an empty table gives an
-empty result; the input's other columns are passed on, and a column whose name the result needs
-raises an error.
+empty result; the input's columns are passed on first, in their order, and one whose name the
+result needs gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from backleaf.llm.common import stage
+from backleaf.llm.common import beside, free_name, stage
 
 WEIGHTS = (5, 2, 1)
 #: Partitions that share one source's documents where they are joined with the plan of their source.
@@ -164,8 +164,7 @@ def mix(
     A draw has `pass` (from 0), `shard` (0 to shards - 1, a power of two), `words` (how many it
     takes: all, or the first of them at the cut) and `place` (rows of a shard are in its order).
     """
-    if clash := {"size", "source_size", "target", "draws", "taken"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns that the result needs are taken: {sorted(clash)}")
+    made = ("size", "source_size", "target", "draws")
     own = [f"c{i}" for i in range(len(df.columns))]
     rows = df.select(*[df[c].alias(n) for c, n in zip(df.columns, own)], word_count(df[text_col]).alias("size"), df[source_col].alias("source"), F.xxhash64(F.lit(seed), df[id_col], df[text_col]).alias("h"))
     sized = stage(rows.select("source", "h", "size"), "sizes")
@@ -177,17 +176,22 @@ def mix(
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     words = "if(d.limit is null, size, greatest(0L, least(size, d.limit - before)))"
     draws = f"filter(transform(coalesce(block_draws, array()), d -> named_struct('pass', d.pass, 'shard', d.shard, 'words', {words}, 'place', xxhash64({seed}, 'place', d.shard, d.pass, h))), d -> d.words > 0)"
-    return rows.select(*[F.col(n).alias(c) for c, n in zip(df.columns, own)], "size", "source_size", "target", F.expr(draws).alias("draws"))
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(beside(df.columns, made), own)], "size", "source_size", "target", F.expr(draws).alias("draws"))
 
 
-def drawn_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row for each draw: the input's columns, the text cut to the words taken, shard and place."""
-    own = [c for c in mixed.columns if c not in ("size", "source_size", "target", "draws")]
-    rows = mixed.select("*", F.explode("draws").alias("draw"))
+def drawn_rows(mixed: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """A row for each draw: the input's columns, the text cut to the words taken (and length_col made its length), shard and place."""
+    own = mixed.columns[:-4]
+    draw = free_name("draw", mixed.columns)
+    rows = mixed.select("*", F.explode("draws").alias(draw))
+    is_cut = F.col(f"{draw}.words") < F.col("size")
     # A word with the white space before it is one part.
-    cut = F.array_join(F.slice(F.split(text_col, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("draw.words").cast("int")), "")
-    text = F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col(text_col))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place"))
+    cut = F.array_join(F.slice(F.split(text_col, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col(f"{draw}.words").cast("int")), "")
+    changed = {text_col: F.when(is_cut, cut).otherwise(F.col(text_col))}
+    if length_col:
+        changed[length_col] = F.when(is_cut, F.char_length(cut).cast(mixed.schema[length_col].dataType)).otherwise(F.col(length_col))
+    named = zip(own, beside(own, ("shard", "place")))
+    return rows.select(*[changed.get(c, F.col(c)).alias(n) for c, n in named], F.col(f"{draw}.shard").alias("shard"), F.col(f"{draw}.place").alias("place"))
 
 
 def write_shards(mixed: DataFrame, path: str, text_col: str = "text") -> None:

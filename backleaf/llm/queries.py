@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backleaf.llm import ann, chat, classifier, licenses, mixing, packing, rules, simhash, token_output
+import corpus_pipeline
+from backleaf.llm import ann, chat, classifier, licenses, mixing, packing, rules, simhash, token_output, warc
 from backleaf.llm.common import new_folder
 
-QUERIES = {}
+QUERIES = {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {}
 
 
@@ -137,3 +138,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), new_folder(spark, "warc")))
+
+
+ORACLE_SQL["op8_warc_archives"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM d
+"""

@@ -7,8 +7,8 @@ document is kept only if no rule rejects it, the order changes the cost and neve
 
 Defined results: a null text counts as empty; an empty text has no words and fails `few_words`;
 repeated rows are judged alike and all come back; an empty table gives an empty result; columns
-of the input are passed on untouched, and result columns whose name is taken raise an error
-before anything runs.
+of the input are passed on untouched, first and in their order; one whose name the result needs
+gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from backleaf.llm.common import beside
+
 WHITE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 
@@ -167,10 +169,9 @@ def apply_rules(
     """
     columns = [*(MEASURES if measured else ()), *(("base_failed",) if measured else ()), "kept"]
     kept_fields = [f for f in df.schema.fields if keep_text or f.name != text_col]
-    if clash := {c.lower() for c in columns} & {f.name.lower() for f in kept_fields}:
-        raise ValueError(f"columns that the result needs are taken: {sorted(clash)}")
+    names = beside([f.name for f in kept_fields], columns)
     cascade = ordered(rules, estimate(df, rules, text_col, sample_rows)) if len(rules) > 1 else rules
-    schema = T.StructType(kept_fields + [T.StructField(c, T.BooleanType() if c in ("base_failed", "kept") else T.LongType()) for c in columns])
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, kept_fields)] + [T.StructField(c, T.BooleanType() if c in ("base_failed", "kept") else T.LongType()) for c in columns])
 
     def judged(batches):
         import pyarrow as pa

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backleaf.llm.common import stage
+from backleaf.llm.common import free_name, stage
 from backleaf.llm.graph import components
 
 BITS = 64
@@ -177,7 +177,8 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """df with one row of each class: that with the smallest id (of rows alike in id and text, one)."""
     classes = duplicate_classes(df, id_col, text_col, width, radius)
-    keepers = classes.select(F.col("component_id").alias("keep_id"), F.col("keeper_hash").alias("keep_hash")).distinct()
-    hashed = F.xxhash64(F.col(text_col))
-    kept = df.join(keepers, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (hashed == F.col("keep_hash")), "left_semi")
-    return kept.withColumn("keep_hash", hashed).dropDuplicates([id_col, "keep_hash"]).select(*[kept[c] for c in df.columns])
+    keep_id, keep_hash = free_name("keep_id", df.columns), free_name("keep_hash", df.columns)
+    keepers = classes.select(F.col("component_id").alias(keep_id), F.col("keeper_hash").alias(keep_hash)).distinct()
+    hashed = F.xxhash64(df[text_col])
+    kept = df.join(keepers, df[id_col].cast("long").eqNullSafe(F.col(keep_id)) & (hashed == F.col(keep_hash)), "left_semi")
+    return kept.withColumn(keep_hash, F.xxhash64(text_col)).dropDuplicates([id_col, keep_hash]).select(*df.columns)
