@@ -162,7 +162,7 @@ def write(
             path = f"{top}/{place}-{number:03d}-{task.taskAttemptId()}.warc.zst"
             dictionary = trained(samples, dictionary_bytes, level)
             packer, n = zstandard.ZstdCompressor(level=level, dict_data=dictionary), 0
-            with store.open_output_stream(path) as out:
+            with store.open_output_stream(path, compression=None) as out:
                 if dictionary is not None:
                     raw = dictionary.as_bytes()
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
@@ -196,7 +196,7 @@ def read(archives: DataFrame) -> DataFrame:
             for uri in b.column("path").to_pylist():
                 store, path = FileSystem.from_uri(uri)
                 rows: list[tuple] = []
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for raw in frames(stream):
                         rows.append(parsed(raw))
                         if len(rows) == 5000:
