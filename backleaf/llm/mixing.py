@@ -96,7 +96,7 @@ def split(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     level = quotas.select(F.lit(0).cast("long").alias("node"), "n")
     for depth in range(levels):
         u = f"(cast(xxhash64({seed}, {depth}, node, i) & 4503599627370495L as double) + 0.5) / 4503599627370496D"
-        left = f"""aggregate(sequence(1, size(n)), named_struct('rest', aggregate(n, 0L, (a, x) -> a + x), 'draws', aggregate(n, 0L, (a, x) -> a + x) div 2, 'out', cast(array() as array<bigint>)),
+        left = f"""aggregate(slice(sequence(0, size(n)), 2, size(n)), named_struct('rest', aggregate(n, 0L, (a, x) -> a + x), 'draws', aggregate(n, 0L, (a, x) -> a + x) div 2, 'out', cast(array() as array<bigint>)),
           (s, i) -> aggregate(array({hypergeometric('n[i - 1]', '(s.rest - n[i - 1])', 's.draws', u)}), s,
             (s2, x) -> named_struct('rest', s2.rest - n[i - 1], 'draws', s2.draws - x, 'out', concat(s2.out, array(x)))), s -> s.out)"""
         halves = level.select("node", "n", F.expr(left).alias("l"))
