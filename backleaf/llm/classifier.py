@@ -103,7 +103,8 @@ class Logistic:
         return cls(mean, scale, w[:-1], float(w[-1]))
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights + self.bias
+        # Row by row, so that a row's value does not depend on its neighbours.
+        return ((x - self.mean) / self.scale * self.weights).sum(1) + self.bias
 
 
 @dataclass
