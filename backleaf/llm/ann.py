@@ -47,7 +47,8 @@ class Codes:
         self.longest = longest
         x = self.lifted(sample)
         self.mean = x.mean(0)
-        _, axes = np.linalg.eigh(np.cov((x - self.mean).T) + 1e-12 * np.eye(x.shape[1]))
+        spread = x - self.mean
+        _, axes = np.linalg.eigh(spread.T @ spread / len(x))
         random, parts, bits = np.random.default_rng(seed), [], BITS
         while bits:
             b = min(bits, x.shape[1])

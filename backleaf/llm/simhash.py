@@ -127,8 +127,10 @@ def bits(code: Column, low: int, n: int) -> Column:
 
 
 def near_links(codes: DataFrame, radius: int = 3, tree_size: int = 2048, most: int = 32768) -> DataFrame:
-    """(u, v) links of a spanning forest over the distinct longs in column fp, all within radius bits.
+    """(u, v) links that join what lies within radius bits, over the distinct longs in column fp.
 
+    Each leads from a code to the smallest code of its group in a shard: one for each code and
+    shard at most. A group is what steps within the radius connect.
     tree_size: codes a shard should hold; most: codes beyond which a shard is dealt again.
     """
     blocks, n = radius + 1, codes.count()
