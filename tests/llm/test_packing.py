@@ -1,5 +1,6 @@
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -12,10 +13,7 @@ from backleaf.llm import packing, token_output, tokens
 
 @pytest.fixture(scope="module")
 def plain():
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(tokens.public_path())
-    return lambda text: array("I", t.encode(text or "", add_special_tokens=False).ids).tobytes()
+    return lambda text: array("I", library().encode(text or "", add_special_tokens=False).ids).tobytes()
 
 
 LETTERS = "abcXYZ 's't're 12!?#$%&|<>\n\téà̀ßΣσςİıſǰ日本。한العहिไ 　 ­​\x00\x01\x0b\x1c\x85Ᲊ😀𝔘"
@@ -24,14 +22,15 @@ LETTERS = "abcXYZ 's't're 12!?#$%&|<>\n\téà̀ßΣσςİıſǰ日本。한ال
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=LETTERS, max_size=40), st.sampled_from(["", "<|endoftext|>", "<|startoftext|> x"]))
 def test_ids_equal_the_library(text, tail):
-    from tokenizers import Tokenizer
-
     own = tokens.word_tokenizer(tokens.public_path())
-    whole = WHOLE.setdefault("t", None) or WHOLE.setdefault("u", Tokenizer.from_file(tokens.public_path()))
-    assert next(own.ids([text + tail])) == array("I", whole.encode(text + tail, add_special_tokens=False).ids).tobytes()
+    assert next(own.ids([text + tail])) == array("I", library().encode(text + tail, add_special_tokens=False).ids).tobytes()
+
 
+@lru_cache
+def library():
+    from tokenizers import Tokenizer
 
-WHOLE: dict = {}
+    return Tokenizer.from_file(tokens.public_path())
 
 
 def test_ids_of_every_table_text_equal_the_library(spark, sf_dir, plain):
