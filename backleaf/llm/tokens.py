@@ -4,7 +4,7 @@ WordTokenizer gives the ids that the `tokenizers` library gives for a word-level
 end-of-word suffix (special tokens not added), for every text. Texts are cut at white space,
 which no word spans, and the chunks looked up in a bounded cache; a new chunk is split in words
 by the file's pattern and merged by `tiktoken` over the same merges.
-Texts with characters on which the two libraries may differ go to `tokenizers` itself.
+Texts and chunks with characters on which the two may differ go to `tokenizers` itself.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -21,11 +22,14 @@ import numpy as np
 import regex
 import tiktoken
 
+#: ASCII signs but the apostrophe, with which words may start.
+_SIGNS = string.punctuation.replace("'", "")
 #: Ends a word; texts that hold it are not split here.
 _END = "\x01"
-#: Control characters and rare spaces, the special tokens' opening, signs whose lower case depends on their place, signs outside the
-#: basic plane, and code points that only one of the two libraries counts as letters.
-_UNSURE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u0130\u03a3\u180e\ufeff\ufffe\uffff]|<\\||[^\x00-\uffff]|[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7f1\uab6c\uab6d]")
+#: Texts with these go to the library whole: special tokens' opening, signs whose lower case depends on their place, spaces in one library only.
+_WHOLE = ("<|", "\u03a3", "\u0130", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+#: Chunks with these go to the library: control characters, signs outside the basic plane, code points that only one of the two counts as letters.
+_UNSURE = re.compile("[\x00-\x08\x0e-\x1b\x7f-\x9f\u180e\ufeff\ufffe\uffff\U00010000-\U0010ffff\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7f1\uab6c\uab6d]")
 
 
 def _unicode_to_byte() -> dict[str, int]:
@@ -82,25 +86,34 @@ class WordTokenizer:
 
     def _learn(self, chunks: set[str]) -> None:
         """Puts chunks in the cache, all merged in one call; a word ends with each id of _ends."""
-        new = list(chunks)
-        words = list(map(self._split, new))
+        odd = {c for c in chunks if not (c.isascii() and c.isprintable()) and _UNSURE.search(c)}
+        new = list(chunks - odd)
+        words = list(map(self._words, new))
         ranks = np.array(self._bpe.encode_ordinary(_END.join([*chain.from_iterable(words), ""])), np.int64)
         ids, stops = self._ids[ranks].tobytes(), 4 * np.r_[0, np.flatnonzero(self._ends[ranks]) + 1]
         last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         to = stops[last].tolist()
         self._cache.update(zip(new, (ids[a:b] for a, b in zip([0, *to], to))))
-        self._chars += sum(map(len, new))
+        self._cache.update((c, self._other(c)) for c in odd)
+        self._chars += sum(map(len, chunks))
+
+    def _words(self, chunk: str) -> list[str]:
+        """The file's pattern, without it for letters alone or letters before signs, which are most chunks."""
+        if chunk.isalpha():
+            return [chunk]
+        letters = chunk.rstrip(_SIGNS)
+        if letters.isalpha():
+            return [letters, chunk[len(letters) :]]
+        return self._split(chunk)
 
     def _chunks(self, text: str | None) -> list[str] | bytes:
         """The text's chunks, or its ids where it goes to the other library."""
         if not text:
             return b""
+        if any(x in text for x in _WHOLE):
+            return self._other(text)
         if not text.isascii():
-            if _UNSURE.search(text):
-                return self._other(text)
             text = unicodedata.normalize("NFC", text)
-        elif "<|" in text or not text.isprintable() and _UNSURE.search(text):
-            return self._other(text)
         return text.lower().split()
 
     def _other(self, text: str) -> bytes:
@@ -118,14 +131,19 @@ class WordTokenizer:
                     break
             if not group:
                 return
-            all_chunks = set().union(*(x for x in group if isinstance(x, list)))
-            if new := all_chunks.difference(self._cache):
-                if self._chars > self._most:
-                    self._cache.clear()
-                    self._chars, new = 0, all_chunks
+            if self._chars > self._most:
+                self._cache.clear()
+                self._chars = 0
+            get = self._cache.get
+            found = [list(map(get, x)) if isinstance(x, list) else x for x in group]
+            new = {c for x, got in zip(group, found) if isinstance(got, list) and None in got for c, ids in zip(x, got) if ids is None}
+            if new:
                 self._learn(new)
-            for x in group:
-                yield b"".join(map(self._cache.__getitem__, x)) if isinstance(x, list) else x
+            for x, got in zip(group, found):
+                if isinstance(got, list):
+                    cache = self._cache
+                    got = b"".join([cache[c] if ids is None else ids for c, ids in zip(x, got)])
+                yield got
 
 
 @lru_cache(maxsize=2)
