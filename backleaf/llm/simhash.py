@@ -178,9 +178,16 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """df with one row of each class: that with the smallest id (of rows alike in id and text, one)."""
-    classes = duplicate_classes(df, id_col, text_col, width, radius)
-    keep_id, keep_hash = free_name("keep_id", df.columns), free_name("keep_hash", df.columns)
-    keepers = classes.select(F.col("component_id").alias(keep_id), F.col("keeper_hash").alias(keep_hash)).distinct()
-    hashed = F.xxhash64(df[text_col])
-    kept = df.join(keepers, df[id_col].cast("long").eqNullSafe(F.col(keep_id)) & (hashed == F.col(keep_hash)), "left_semi")
-    return kept.withColumn(keep_hash, F.xxhash64(text_col)).dropDuplicates([id_col, keep_hash]).select(*df.columns)
+    return keep_classes(df, duplicate_classes(df, id_col, text_col, width, radius), id_col, text_col)
+
+
+def keep_classes(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df that classes (component_id, keeper_hash) names as the first of theirs; of rows alike in both, one."""
+    made = ("keep_id", "keep_null", "keep_hash")
+    keep_id, keep_null, keep_hash = names = [free_name(n, df.columns) for n in made]
+    known = F.coalesce("component_id", F.lit(0).cast("long")).alias(keep_id), F.col("component_id").isNull().alias(keep_null)
+    keepers = classes.select(*known, F.col("keeper_hash").alias(keep_hash)).distinct()
+    own = df[id_col].cast("long")
+    # Join and dropDuplicates share their keys, so the texts are shuffled once.
+    rows = df.withColumns({keep_id: F.coalesce(own, F.lit(0).cast("long")), keep_null: own.isNull(), keep_hash: F.xxhash64(df[text_col])})
+    return rows.join(keepers, names, "left_semi").dropDuplicates(names).select(*df.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backleaf.llm import classifier, mixing, packing, rules, simhash
+from backleaf.llm import classifier, mixing, near_copies, packing, rules
 from backleaf.llm.common import restored, stage
 
 
@@ -27,7 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """By five-word shingles with a Jaccard similarity of 0.8 or more; op7 has the fingerprints."""
+    return near_copies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
