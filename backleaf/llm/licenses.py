@@ -150,13 +150,18 @@ NOTICES = (
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A line that names a copyright owner, or reserves rights, to its end; the text is lower-case by then.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;>-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*"
+#: As COPYRIGHT_LINE, but a line in which a sentence of a licence goes on ("copyright notice and ...") stays.
+OWNER_LINE = (
+    r"(^|\n)[ \t*#/;>-]*(copyright\b(?![ \t]*([.;)]|\r?\n|$|,(?![ \t]*\d))|[ \t]+(notice|holder|owner|licen[cs]e|law|statement|interest|disclaimer|treaty|treaties|and|or|in|to|as|of|for|is)s?\b)"
+    r"|\(c\)|©|all rights reserved)[^\n]*"
+)
 SIGNS = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form, with lines still apart: a space between words, \\n between lines."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(out, OWNER_LINE, "$1")
     out = F.regexp_replace(out, SIGNS, " ")
     for variant, one in EQUIVALENT:
         out = F.replace(out, F.lit(variant), F.lit(one))
@@ -164,7 +169,12 @@ def canonical(text: Column) -> Column:
 
 
 def whole(canonical_text: Column) -> Column:
-    return F.trim(F.regexp_replace(canonical_text, "[ \n]+", " "))
+    """All lines as one; spellings of several words are replaced once more, as a line may have ended within them."""
+    out = F.regexp_replace(canonical_text, "[ \n]+", " ")
+    for variant, one in EQUIVALENT:
+        if " " in variant:
+            out = F.replace(out, F.lit(variant), F.lit(one))
+    return F.trim(out)
 
 
 def digest(canonical_text: Column) -> Column:

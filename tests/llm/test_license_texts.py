@@ -1,0 +1,24 @@
+import textwrap
+
+import pytest
+
+from backleaf.llm import licenses
+
+TEXT = dict(licenses.LICENSES)
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    return {r.name: r.license_id for r in licenses.scan(df).collect()}
+
+
+@pytest.mark.parametrize("width", [40, 60, 72, 79])
+def test_line_breaks_do_not_matter(spark, width):
+    want = {i: t for i, t in TEXT.items()}
+    assert found(spark, {i: textwrap.fill(t, width, break_long_words=False) for i, t in want.items()}) == {i: i for i in want}
+
+
+def test_sentences_that_go_on_with_copyright_stay(spark):
+    isc = "Copyright 2001 Some One\n\n" + TEXT["ISC"].replace("above copyright notice", "above\ncopyright notice")
+    mit = TEXT["MIT"].replace("COPYRIGHT HOLDERS", "COPYRIGHT\nHOLDERS")
+    assert found(spark, {"isc": isc, "mit": mit, "owner": "(c) 2020 X\nCopyright Some Body\n" + mit}) == {"isc": "ISC", "mit": "MIT", "owner": "MIT"}
