@@ -15,6 +15,9 @@ on first, in their order, and one whose name the result needs gets underscores a
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +150,41 @@ NOTICES = (
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 
+#: First lines under which the texts of LICENSES are found; none is one of them.
+TITLES = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT", "(The MIT License)"),
+    "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("", "BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License"),
+    "Zlib": ("", "zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"),
+    "Apache-2.0": ("",),
+}
+#: Folder of the full texts of longer licences, a file for each identifier.
+TEXTS = Path(__file__).with_name("license_texts")
+
+
+def variants() -> tuple[tuple[str, str], ...]:
+    """(identifier, text): LICENSES under each of their titles, with and without numbers before the conditions."""
+    out = []
+    for i, text in LICENSES:
+        body = text.split("\n\n", 1)[1] if text.split("\n\n", 1)[0] in TITLES[i] else text
+        plain = re.sub(r"(^|\n)[1-3]\. ", r"\1", body)
+        out += [(i, f"{title}\n\n{b}") for title in TITLES[i] for b in dict.fromkeys((body, plain))]
+    return tuple(out)
+
+
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(identifier, text): the files in TEXTS, whole and without what they append after their terms."""
+    out = []
+    for at in sorted(TEXTS.glob("*.txt")):
+        text = at.read_text(encoding="utf-8")
+        out += [(at.stem, text)]
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        out += [(at.stem, text[: end.end()]), (at.stem, text[: end.start()])] if end else []
+    return tuple(out)
+
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A line that names a copyright owner, or reserves rights, to its end; the text is lower-case by then.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;>-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*"
@@ -188,11 +226,13 @@ def known(spark: SparkSession, texts: tuple[tuple[str, str], ...]) -> DataFrame:
     return rows.select("license_id", digest(whole(canonical(F.col("text")))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(df: DataFrame, text_col: str = "text", licenses: tuple[tuple[str, str], ...] = LICENSES + NOTICES, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", licenses: tuple[tuple[str, str], ...] | None = None, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
     """df with text_digest, license_id (of the whole text, or null) and notice_ids (sorted, of its lines).
 
     licenses and notices are lists in the caller's memory, so their digests may be broadcast whole.
+    licenses: by default LICENSES, variants(), full_texts() and NOTICES.
     """
+    licenses = LICENSES + variants() + full_texts() + NOTICES if licenses is None else licenses
     made = ("text_digest", "license_id", "notice_ids")
     line_ids: dict[str, str] = {x.digest: x.license_id for x in known(df.sparkSession, notices).collect()}
     longest = max((len(t) for _, t in notices), default=0)
