@@ -1,17 +1,23 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found by prefixes.
+"""SimHash near-dedup at a text similarity: BK-trees name the candidates, an exact check links them.
 
-A text's set holds the XXH64 hashes of its shingles (`width` words, A-Z lower-cased; all words where
-there are fewer). Texts whose sets have a Jaccard similarity of at least `share` are linked; linked
-texts form classes. No similar pair is missed, apart from hash collisions:
+This is operator 7 with parameters of its own, for stages that ask for a Jaccard similarity of word
+shingles instead of a fingerprint distance. A text's set holds the XXH64 hashes of its shingles (`width`
+words, A-Z lower-cased; all words where there are fewer); texts whose sets have a similarity of at least
+`share` are linked, and linked texts form classes. Equal sets are one node.
 
-All sets are read in one order of shingles. Two similar sets have a shingle in common within the first
-l - ceil(share * l) + 1 of each, so sets meet at the shingles of these prefixes, and the sizes and the
-places of the first common shingle bound their overlap. What remains is compared shingle by shingle.
-Equal sets are one node. First, in a few rounds, a set is compared with one leader of each of its
-shingles only, so that a group of n near copies does not make n * n / 2 pairs; then all pairs of sets
-that meet and are not in one class yet. Shingles that are frequent in a sample come last in the
-order, so that what many texts share (a passage, a notice) is rarely in a prefix: the order changes the
-cost, never the result.
+At a similarity of 0.8 the 64-bit fingerprints of two sets differ in about 10 bits and up to 20, too many
+to shard by blocks of the fingerprint. Sets are dealt to shards by what they share instead: each of `BANDS`
+keys is made of `ROWS` minima of its own hashes of the shingles, so two sets with similarity j agree in a key
+with probability j ** ROWS. A shard's fingerprints make a BK-tree, each set searches it along edges
+within `radius`, and what it finds in another class of the shard is compared shingle by shingle. A shard gives
+the links of a spanning forest, never all pairs of a group.
+
+What is lost: of pairs at exactly 0.8, 3 in 100,000 share no key and about 1 in 20,000 lies beyond 22
+bits, both falling steeply above 0.8; no pair below the similarity is linked.
+
+Hot groups: shards with equal members are searched once; a shard above most_sets or most_shingles is dealt in
+blocks by hash, each searched by itself; then, where a shard still has sets outside its largest class, these
+(and only these) visit the blocks, in portions of the same bound. So a task holds two portions, whatever a shard has.
 
 Defined results: texts without words (null and empty ones among them) have equal sets; null ids, repeated
 rows and empty tables are as in simhash.
@@ -19,6 +25,7 @@ rows and empty tables are as in simhash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -28,10 +35,13 @@ from pyspark.sql import functions as F
 
 from backleaf.llm.common import stage
 from backleaf.llm.graph import components
-from backleaf.llm.simhash import keep_classes
+from backleaf.llm.simhash import BKTree, keep_classes, majority
 
 #: Least similarity, as a fraction of whole numbers.
 SHARE = (4, 5)
+BANDS, ROWS = 20, 4
+_FACTORS = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CHUNK = 4096
 
 
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -49,136 +59,165 @@ def set_id(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes()) - 2**63
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
-    """The first shingles of a set, of which similar sets have one in common; frequent (sorted) ones come last."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        late = frequent[at] == own
-        own = np.concatenate([own[~late], own[late]])
-    return own[: len(own) + (-share[0] * len(own)) // share[1] + 1]
-
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A set's keys: minima under BANDS * ROWS multiplications of its hashes, mixed ROWS at a time."""
+    low = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for i in range(0, len(own), _CHUNK):
+        np.minimum(low, (own[i : i + _CHUNK].view(np.uint64)[:, None] * _FACTORS).min(0), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part, factor in zip(low.reshape(BANDS, ROWS).T, _FACTORS):
+        key = (key ^ part) * factor
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
-def frequent_shingles(df: DataFrame, text_col: str, width: int, sample_rows: int = 10_000, least: int = 5) -> np.ndarray:
-    """Shingles in `least` texts or more of a sample by hash; at most the sample's shingles / least of them."""
-    keep = min(1.0, sample_rows / max(df.count(), 1))
-    drawn = df.select(F.col(text_col).alias("text")).distinct() if keep == 1.0 else df.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(F.lit(7), text_col), F.lit(1 << 20)) < int(keep * (1 << 20)))
-
-    def made(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            parts = [shingles(x, width) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], names=["token"])
-
-    found = drawn.mapInArrow(made, "token long").groupBy("token").count().where(F.col("count") >= least).select("token")
-    return np.sort(found.toPandas()["token"].to_numpy(np.int64))
+def linked(codes: np.ndarray, sets: list[np.ndarray], radius: int, share: tuple[int, int] = SHARE, at_once: int = 256) -> np.ndarray:
+    """For the sets of a shard (codes: their fingerprints, ascending) the smallest position in the same linked group."""
+    num, den = share
+    n = np.array([len(x) for x in sets])
+    starts = np.r_[0, np.cumsum(n)]
+    values, token = np.unique(np.concatenate(sets), return_inverse=True)
+    root, mark = np.arange(len(sets)), np.zeros(len(values), bool)
+    distinct, code_of = np.unique(codes, return_inverse=True)
+    tree = BKTree(distinct)
+    for first in range(0, len(distinct), at_once):
+        q, v = tree.within(distinct[first : first + at_once], radius)
+        order = np.argsort(q, kind="stable")
+        q, v = q[order], v[order]
+        for u in range(*np.searchsorted(code_of, [first, first + at_once])):
+            near = np.zeros(len(distinct), bool)
+            near[v[slice(*np.searchsorted(q, [code_of[u] - first, code_of[u] - first + 1]))]] = True
+            at = np.flatnonzero(near[code_of[:u]] & (root[:u] != root[u]))
+            at = at[den * np.minimum(n[at], n[u]) >= num * np.maximum(n[at], n[u])]
+            if not len(at):
+                continue
+            own = token[starts[u] : starts[u + 1]]
+            mark[own] = True
+            edges = np.cumsum(n[at]) - n[at]
+            both = np.add.reduceat(mark[token[np.repeat(starts[at] - edges, n[at]) + np.arange(n[at].sum())]], edges, dtype=np.int64)
+            mark[own] = False
+            hits = np.unique(root[at[both * (num + den) >= num * (n[at] + n[u])]])
+            if len(hits):
+                hits = np.r_[hits, root[u]]
+                root[np.isin(root, hits)] = hits.min()
+    return root
 
 
 def bitmap(ids: DataFrame, most: int = 1 << 20) -> np.ndarray:
     """A word-wise bitmap with the bit (id modulo its length) set for each id; at most `most` words, so that some others pass too."""
     n = min(most, 1 << max(0, ids.count() // 8).bit_length())
     at = F.pmod("s", F.lit(64 * n).cast("long"))
-    rows = ids.select((at / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(pmod(s, 64L) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    rows = ids.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(s, 64L) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(n, np.uint64)
     out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(u, v) of those pairs whose sets are similar."""
-    num, den = share
+def whole_sets(texts: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(s, own) of the sets in needed (and a few others), made again from the column text."""
+    bits = bitmap(needed)
 
-    def held(batches):
+    def made(batches):
         import pyarrow as pa
 
         for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            n = np.array([len(np.intersect1d(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64), assume_unique=True)) for p, q in zip(x, y)], np.int64)
-            total = np.array([(len(p) + len(q)) // 8 for p, q in zip(x, y)], np.int64)
-            yield b.select(["u", "v"]).filter(pa.array(n * (num + den) >= num * total))
+            found = {}
+            for x in b.column("text").to_pylist():
+                own = shingles(x, width)
+                s = set_id(own)
+                if bits[s % (64 * len(bits)) // 64] >> np.uint64(s % 64) & np.uint64(1):
+                    found[s] = own.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["s", "own"])
 
-    both = pairs.join(sets.select(F.col("s").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("s").alias("v"), F.col("own").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(held, "u long, v long")
+    return texts.mapInArrow(made, "s long, own binary").dropDuplicates(["s"])
 
 
-def near_links(texts: DataFrame, frequent: np.ndarray, width: int, share: tuple[int, int], rounds: int = 3) -> DataFrame:
-    """(node, root) for every set that has a similar one; texts has the column text."""
-    num, den = share
+def shard_links(dealt: DataFrame, sets: DataFrame, shard: list[str], radius: int, share: tuple[int, int]) -> DataFrame:
+    """(u, v) links of a spanning forest of each shard; dealt has s, fp and the shard's columns."""
 
-    def met(batches):
+    def found(batches) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            s, n, at, token = [], [], [], []
-            for x in b.column("text").to_pylist():
-                own = shingles(x, width)
-                if len(own):
-                    first = prefix(own, frequent, share)
-                    token.append(first)
-                    at.append(np.arange(len(first), dtype=np.int32))
-                    s.append(np.full(len(first), set_id(own), np.int64))
-                    n.append(np.full(len(first), len(own), np.int32))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (token, s, n, at)], names=["token", "s", "n", "at"])
-
-    def whole(batches):
-        import pyarrow as pa
+        at, fp, s, own = None, [], [], []
+
+        def links():
+            if len(s) < 2:
+                return
+            codes = np.array(fp, np.int64).view(np.uint64)
+            order = np.argsort(codes, kind="stable")
+            ids = np.array(s, np.int64)[order]
+            root = linked(codes[order], [np.frombuffer(own[i], np.int64) for i in order], radius, share)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["u", "v"])
 
         for b in batches:
-            own = [shingles(x, width) for x in b.column("text").to_pylist()]
-            own = [x for x in own if needed[set_id(x) % (64 * len(needed)) // 64] >> np.uint64(set_id(x) % 64) & np.uint64(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["s", "own"])
-
-    posts = texts.mapInArrow(met, "token long, s long, n int, at int")
-    over = "OVER (PARTITION BY token)"
-    # The nearest sizes at a shingle tell whether any set there has a size that allows the similarity.
-    near = f"n * {num} <= {den} * lag(n) OVER (PARTITION BY token ORDER BY n, s) OR {num} * lead(n) OVER (PARTITION BY token ORDER BY n, s) <= {den} * n"
-    posts = posts.dropDuplicates(["token", "s"]).select("*", F.expr(f"coalesce({near}, false)").alias("met")).where("met").drop("met")
-    posts = stage(posts, "prefixes")
-    needed = bitmap(posts.select("s").distinct())
-    sets = stage(texts.mapInArrow(whole, "s long, own binary").dropDuplicates(["s"]), "sets")
-
-    def may(a: str, b: str) -> str:  # the sizes, and what the places of a first common shingle leave, allow the similarity
-        return f"least({a}.n - {a}.at, {b}.n - {b}.at) >= ceil({num} * ({a}.n + {b}.n) / {num + den}) AND {den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n)"
-
-    links, label = None, None
-    for k in range(rounds + 1):
-        now = posts if label is None else posts.join(label, "s", "left").select(*posts.columns, F.coalesce("root", "s").alias("root"))
-        now = now.withColumn("root", F.col("s")) if label is None else now
-        now = now.select("*", F.expr(f"min(root) {over} < max(root) {over}").alias("apart")).where("apart").drop("apart")
-        if k < rounds:
-            leader = now.select("*", F.expr(f"min_by(struct(s, n, at, root), xxhash64({k}, s)) {over}").alias("l"))
-            pairs = leader.where(f"s <> l.s AND root <> l.root AND {may('leader', 'l')}".replace("leader.", "")).select(F.least("s", "l.s").alias("u"), F.greatest("s", "l.s").alias("v"))
-        else:
-            now = stage(now, "apart")
-            a, b = now.alias("a"), now.alias("b")
-            pairs = a.join(b, F.expr(f"a.token = b.token AND a.s < b.s AND a.root <> b.root AND {may('a', 'b')}")).select(F.col("a.s").alias("u"), F.col("b.s").alias("v"))
-        new = stage(similar_pairs(pairs.distinct(), sets, share), "similar")
-        links = new if links is None else links.unionByName(new)
-        label = stage(components(links).select(F.col("node").alias("s"), "root"), "roots")
-    return label
-
-
-def copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(doc_id, text_hash, component_id, keeper_hash) for every row of df, as simhash.duplicate_classes."""
+            for *key, code, i, x in zip(*(b.column(c).to_pylist() for c in (*shard, "fp", "s", "own"))):
+                if key != at:
+                    yield from links()
+                    at, fp, s, own = key, [], [], []
+                if not s or s[-1] != i:  # a visitor that lies in the block it visits
+                    fp.append(code)
+                    s.append(i)
+                    own.append(x)
+        yield from links()
+
+    rows = dealt.select(*shard, "fp", "s").join(sets, "s").select(*shard, "fp", "s", "own")
+    return rows.repartition(*shard).sortWithinPartitions(*shard, "s").mapInArrow(found, "u long, v long")
+
+
+def near_links(texts: DataFrame, codes: DataFrame, width: int, radius: int, share: tuple[int, int], most_sets: int = 4096, most_shingles: int = 4_000_000) -> DataFrame:
+    """(node, root) for every set that has a similar one; texts has the column text, codes s, fp, n and keys of each set."""
+    num, den = share
+    posts = codes.select("s", "fp", "n", F.explode("keys").alias("key"))
+    shards = posts.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("s")).alias("members"), F.sum("n").alias("total"), F.min("n").alias("low"), F.max("n").alias("high"), F.bit_xor("fp").alias("apart"))
+    # Two sets alone must meet the sizes and the radius; shards with the same members are searched once.
+    shards = shards.where(f"m > 2 or m = 2 and {den} * low >= {num} * high and bit_count(apart) <= {radius}")
+    parts = F.greatest(F.ceil(F.col("m") / most_sets), F.ceil(F.col("total") / most_shingles)).cast("int")
+    shards = stage(shards.groupBy("m", "members", "total").agg(F.min("key").alias("key")).select("key", parts.alias("parts")), "shards")
+    dealt = stage(posts.join(shards, "key").select("key", "s", "fp", "parts", F.pmod(F.xxhash64(F.lit(3), "s"), "parts").cast("int").alias("block")), "dealt")
+    sets = stage(whole_sets(texts, dealt.select("s").distinct(), width), "sets")
+    links = stage(shard_links(dealt, sets, ["key", "block"], radius, share), "links")
+    label = components(links)
+    if shards.where("parts > 1").isEmpty():
+        return label
+    label = stage(label, "roots")
+    large = dealt.where("parts > 1").join(label.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    of_root = large.groupBy("key", "root").agg(F.count("*").alias("k"))
+    main = of_root.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("others"))
+    large = stage(large.join(main.where("others > 0"), "key").withColumn("portions", F.ceil(F.col("others") / most_sets).cast("int")), "large")
+    held = large.select("key", "s", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
+    visits = large.where("root <> main").select("key", "s", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(5), "s"), "portions").cast("int").alias("portion"))
+    more = shard_links(held.unionByName(visits), sets, ["key", "block", "portion"], radius, share)
+    return components(links.unionByName(more))
+
+
+def copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 22, share: tuple[int, int] = SHARE, **bounds: int) -> DataFrame:
+    """(doc_id, text_hash, component_id, keeper_hash) for every row of df, as simhash.duplicate_classes.
+
+    bounds: most_sets and most_shingles of near_links.
+    """
 
     def made(batches):
         import pyarrow as pa
 
         for b in batches:
-            s = [set_id(shingles(x, width)) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(s, pa.int64())], names=["doc_id", "text_hash", "s"])
+            own = [shingles(x, width) for x in b.column("text").to_pylist()]
+            arrays = [pa.array(list(map(set_id, own)), pa.int64()), pa.array([majority(x.view(np.uint64)) - 2**64 * (majority(x.view(np.uint64)) >> 63) for x in own], pa.int64()), pa.array(list(map(len, own)), pa.int64())]
+            keys = pa.array([band_keys(x) if len(x) else None for x in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *arrays, keys], names=["doc_id", "text_hash", "s", "fp", "n", "keys"])
 
     read = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = stage(read.mapInArrow(made, "doc_id long, text_hash long, s long"), "sets")
-    roots = near_links(df.select(F.col(text_col).alias("text")), frequent_shingles(df, text_col, width), width, share)
+    rows = stage(read.mapInArrow(made, "doc_id long, text_hash long, s long, fp long, n long, keys array<long>"), "sets")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    classed = rows.groupBy("s").agg(F.min(first).alias("first")).join(roots, "s", "left").select("s", "first", F.coalesce("root", "s").alias("root"))
+    codes = stage(rows.groupBy("s").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("fp", "n", "keys")]), "codes")
+    roots = near_links(df.select(F.col(text_col).alias("text")), codes, width, radius, share, **bounds)
+    classed = codes.select("s", "first").join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "first", F.coalesce("root", "s").alias("root"))
     classed = stage(classed, "classed")
     table = classed.join(classed.groupBy("root").agg(F.min("first").alias("least")), "root").select("s", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("keeper_hash"))
-    return rows.join(table, "s").select("doc_id", "text_hash", "component_id", "keeper_hash")
+    return rows.select("doc_id", "text_hash", "s").join(table, "s").select("doc_id", "text_hash", "component_id", "keeper_hash")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = SHARE) -> DataFrame:
-    """df with one row of each class: that with the smallest id (of rows alike in id and text, one)."""
-    return keep_classes(df, copy_classes(df, id_col, text_col, width, share), id_col, text_col)
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """df with one row of each class: that with the smallest id (of rows alike in id and text, the first by a hash of all columns)."""
+    return keep_classes(df, copy_classes(df, id_col, text_col, **options), id_col, text_col)

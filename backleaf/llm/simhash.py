@@ -47,11 +47,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     ends = list(accumulate((len(w) + 1 for w in words), initial=0))
     n = max(1, len(words) - width + 1)
     spans = zip(ends, ends[min(width, len(words)) :])
-    hashes = np.fromiter((h(joined[a : b - 1], seed) for a, b in spans), np.uint64, n)
+    return majority(np.fromiter((h(joined[a : b - 1], seed) for a, b in spans), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; zero for none."""
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, _CHUNK):
+    for i in range(0, len(hashes), _CHUNK):
         ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 class BKTree:
@@ -177,17 +181,18 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """df with one row of each class: that with the smallest id (of rows alike in id and text, one)."""
+    """df with one row of each class: that with the smallest id (of rows alike in id and text, the first by a hash of all columns)."""
     return keep_classes(df, duplicate_classes(df, id_col, text_col, width, radius), id_col, text_col)
 
 
 def keep_classes(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of df that classes (component_id, keeper_hash) names as the first of theirs; of rows alike in both, one."""
+    """The rows of df that classes (component_id, keeper_hash) names as the first of theirs; of rows alike in both, the first by a hash of all columns."""
     made = ("keep_id", "keep_null", "keep_hash")
     keep_id, keep_null, keep_hash = names = [free_name(n, df.columns) for n in made]
     known = F.coalesce("component_id", F.lit(0).cast("long")).alias(keep_id), F.col("component_id").isNull().alias(keep_null)
     keepers = classes.select(*known, F.col("keeper_hash").alias(keep_hash)).distinct()
     own = df[id_col].cast("long")
-    # Join and dropDuplicates share their keys, so the texts are shuffled once.
+    # Join and grouping share their keys, so the texts are shuffled once.
     rows = df.withColumns({keep_id: F.coalesce(own, F.lit(0).cast("long")), keep_null: own.isNull(), keep_hash: F.xxhash64(df[text_col])})
-    return rows.join(keepers, names, "left_semi").dropDuplicates(names).select(*df.columns)
+    first = F.min_by(F.struct(*[rows[c] for c in df.columns]), F.xxhash64(*[rows[c] for c in df.columns]))
+    return rows.join(keepers, names, "left_semi").groupBy(*names).agg(first.alias("row")).select("row.*")

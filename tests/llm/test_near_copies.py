@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
+import pytest
 from helpers import docs, empty_docs, odd_docs, words
 from test_simhash import plain_fingerprint
 
 import corpus_pipeline
-from backleaf.llm import near_copies
+from backleaf.llm import near_copies, simhash
 
 
 def plain_set(text, width=5):
@@ -60,10 +62,43 @@ def test_copy_beyond_three_bits_goes(spark):
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()] == [1]
 
 
-def test_any_order_finds_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [{"most_sets": 7}, {"most_sets": 2}, {"most_shingles": 500}])
+def test_blocks_find_the_same(spark, bounds):
     rows = edited(6)
-    monkeypatch.setattr(near_copies, "frequent_shingles", lambda df, text_col, width: near_copies.shingles(rows[7][1]))
-    assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect()) == plain_keepers(rows)
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows), **bounds).collect()) == plain_keepers(rows)
+
+
+def test_shard_search_equals_all_pairs():
+    sets = [near_copies.shingles(t) for _, t in edited(7) if t]
+    codes = np.array([simhash.majority(x.view(np.uint64)) for x in sets], np.uint64)
+    order = np.argsort(codes, kind="stable")
+    codes, sets = codes[order], [sets[i] for i in order]
+    want = list(range(len(sets)))
+    for u in range(len(sets)):
+        for v in range(u):
+            both = len(np.intersect1d(sets[u], sets[v]))
+            if (int(codes[u]) ^ int(codes[v])).bit_count() <= 22 and 9 * both >= 4 * (len(sets[u]) + len(sets[v])):
+                a, b = sorted((want[u], want[v]))
+                want = [a if x == b else x for x in want]
+    assert near_copies.linked(codes, sets, 22, at_once=16).tolist() == want
+
+
+def test_similar_sets_share_keys_and_bits():
+    """Of 2,000 pairs at a similarity of just 0.8, all share a key and lie within the radius."""
+    rng = np.random.default_rng(4)
+    for _ in range(2000):
+        n = 9 * int(rng.integers(6, 60))
+        x = rng.integers(-(2**63), 2**63, n + n // 9, dtype=np.int64)
+        a, b = np.sort(x[:n]), np.sort(x[n // 9 :])
+        assert 9 * len(np.intersect1d(a, b)) == 4 * (len(a) + len(b))
+        assert (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
+        assert (simhash.majority(a.view(np.uint64)) ^ simhash.majority(b.view(np.uint64))).bit_count() <= 22
+
+
+def test_rows_alike_in_id_and_text(spark):
+    rows = [(1, "same text", x, "s", 9) for x in "abc"] + [(2, "same text", "d", "s", 9)]
+    once, again = (near_copies.keep_one(docs(spark, r)).collect() for r in (rows, rows[::-1]))
+    assert len(once) == 1 and once == again and once[0].doc_id == 1
 
 
 def test_stage_on_the_documents(spark, sf_dir):
