@@ -1,21 +1,26 @@
 """Quality classifier by co-training a text view and a metadata view.
 
 Two logistic regressions see different sides of a document: its text (shares of byte values, word
-and line statistics) and its metadata (hashed language, hashed source, length). Both start from the
-labelled sample; in each round each scores a pool of unlabelled documents and hands its most
-confident ones, with the labels it gives them, to the other's training set. Then each view is
-calibrated on labelled rows kept apart (Platt scaling), the calibrated log-odds are combined by a
-third regression on the same rows, and all documents are scored in one distributed pass.
+and line statistics) and its metadata (hashed language, source, both together, length). Both start from
+the labelled sample. In each round both score every document of the table in one distributed pass, and each
+hands pseudo-labelled documents to the other's training set. Then each view is calibrated on labelled rows kept
+apart (Platt scaling), the calibrated log-odds are combined by a third regression on the same rows,
+whose weights are not negative, and all documents are scored in one more pass.
 
-What is fitted: at most labelled_rows labelled and pool_rows unlabelled documents, drawn by a hash
-from the whole table; their features (a few hundred numbers each) are fitted at the driver. Scoring
-covers every document.
+What keeps the exchange from doing harm: confidence is read off calibrated probabilities; a view hands over a
+class only where its picks among the rows kept apart have a precision of `sure` at least and at most half the
+errors of guessing that class; classes go over in the labelled ratio, so a view that is sure of one class only
+hands over nothing; and a view keeps what it was given only if its loss on the rows kept apart does not rise.
+
+What is bounded: at most labelled_rows labelled rows, drawn by a hash from all, and at most handed_rows
+pseudo-labelled ones for each view and round, drawn by a hash from all documents that qualify; their features (a
+few hundred numbers each) are fitted at the driver. Every document is a candidate and is scored.
 
 Defined results: a null or empty text has features of zero; null metadata has buckets of its own;
-a document with labels that disagree is not used for fitting; without labels of both classes every
-document gets score 1 and is kept; repeated rows are scored alike; an empty table gives an empty
-result; the input's columns are passed on first, in their order, and one whose name the result
-needs gets underscores after its name.
+a document with labels that disagree is not used for fitting; of rows with one labelled id, the first by a hash
+of text and metadata is fitted; without labels of both classes every document gets score 1 and is kept;
+repeated rows are scored alike; an empty table gives an empty result; the input's columns are passed on
+first, in their order, and one whose name the result needs gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -65,7 +70,8 @@ def _bucket(kind: str, value: object) -> int:
 
 
 def meta_features(columns: list[tuple[str, list]], lengths: list) -> np.ndarray:
-    """One-hot: a bucket for each named column's value, and the length's power of two."""
+    """One-hot: a bucket for each named column's value and for all of them together, and the length's power of two."""
+    columns = [*columns, ("all", list(zip(*(values for _, values in columns))))] if len(columns) > 1 else columns
     n, width = len(lengths), len(columns) * _BUCKETS
     out = np.zeros((n, width + _LENGTHS))
     for k, (name, values) in enumerate(columns):
@@ -89,8 +95,8 @@ class Logistic:
     bias: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> Logistic:
-        """Newton's method on the mean loss with an L2 penalty / n."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25, rising: bool = False) -> Logistic:
+        """Newton's method on the mean loss with an L2 penalty / n; rising: features that would get a negative weight get none."""
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         z = np.c_[(x - mean) / scale, np.ones(len(x))]
         w, ridge = np.zeros(z.shape[1]), np.r_[np.full(z.shape[1] - 1, penalty), 1e-6]
@@ -100,6 +106,11 @@ class Logistic:
             w = w - step
             if np.abs(step).max() < 1e-6:
                 break
+        if rising and (w[:-1] < 0).any():
+            use = w[:-1] > 0
+            rest = cls.fit(x[:, use], y, penalty, steps, True)
+            w[:-1] = 0
+            w[:-1][use], w[-1] = rest.weights, rest.bias
         return cls(mean, scale, w[:-1], float(w[-1]))
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -123,72 +134,171 @@ class CoTrained:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.both.logit(np.c_[a, b]))
 
 
-def co_train(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, share: float = 0.1, sure: float = 0.95) -> CoTrained | None:
-    """Fits both views; y has 0 and 1. None if a class is missing on either side of the split.
-
-    A third of the labelled rows calibrates. In each round a view hands over at most `share` of
-    the pool, the rows it is surest of, and only those with a probability of at least `sure`.
-    """
+class Exchange:
+    """Co-training over labelled rows; candidates come from picks() and go to learn(), round by round."""
+
+    def __init__(self, text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, sure: float = 0.95, least: int = 8):
+        self.x, self.y, self.sure, self.least = (text_x, meta_x), y, sure, least
+        self.apart = np.arange(len(y)) % 3 == 0
+        self.extra: list[dict[int, tuple[np.ndarray, int]]] = [{}, {}]  # by view: rows that the other has labelled
+        self.models = [self._fitted(k, {}) for k in (0, 1)]
+        self.platt = [self._calibrated(k, m) for k, m in enumerate(self.models)]
+
+    def _fitted(self, k: int, extra: dict[int, tuple[np.ndarray, int]]) -> Logistic:
+        rows = [self.x[k][~self.apart], *(x[None, :] for x, _ in extra.values())]
+        return Logistic.fit(np.concatenate(rows), np.r_[self.y[~self.apart], [label for _, label in extra.values()]].astype(float))
+
+    def _calibrated(self, k: int, model: Logistic) -> Logistic:
+        return Logistic.fit(model.logit(self.x[k][self.apart])[:, None], self.y[self.apart], rising=True)
+
+    def _loss(self, k: int, model: Logistic, platt: Logistic) -> float:
+        z = platt.logit(model.logit(self.x[k][self.apart])[:, None])
+        return float(np.logaddexp(0, np.where(self.y[self.apart] == 1, -z, z)).mean())
+
+    def sureness(self, k: int, x: np.ndarray) -> np.ndarray:
+        """A view's calibrated probabilities of class 1."""
+        return _sigmoid(self.platt[k].logit(self.models[k].logit(x)[:, None]))
+
+    def thresholds(self) -> list[tuple[float, float]]:
+        """Of each view the least probabilities of class 0 and 1 from which its picks of the rows kept apart are right often enough; 2 for none."""
+        out, y = [], self.y[self.apart]
+        for k in (0, 1):
+            p = self.sureness(k, self.x[k][self.apart])
+            of_view = []
+            for label in (0, 1):
+                trust = p if label else 1 - p
+                order = np.argsort(-trust, kind="stable")
+                right = np.cumsum(y[order] == label)
+                n = np.arange(1, len(y) + 1)
+                need = max(self.sure, 1 - (1 - (y == label).mean()) / 2)
+                ends = np.r_[trust[order][1:] < trust[order][:-1], True]  # ties stand or fall together
+                good = np.flatnonzero((n >= self.least) & (right >= need * n) & ends)
+                of_view.append(float(max(trust[order][good[-1]], 0.5)) if len(good) else 2.0)
+            out.append((of_view[0], of_view[1]))
+        return out
+
+    def picks(self, text_x: np.ndarray, meta_x: np.ndarray, thresholds: list[tuple[float, float]]) -> np.ndarray:
+        """(rows, views): the class a view hands a row over with, or -1."""
+        out = np.full((len(text_x), 2), -1, np.int8)
+        for k, x in enumerate((text_x, meta_x)):
+            p = self.sureness(k, x)
+            out[p >= thresholds[k][1], k] = 1
+            out[1 - p >= thresholds[k][0], k] = 0
+        return out
+
+    def learn(self, keys: list[int], text_x: np.ndarray, meta_x: np.ndarray, picks: np.ndarray, most: int) -> list[int]:
+        """Hands over, in the order given, at most `most` rows of each view in the labelled ratio; returns how many each view kept."""
+        bad, good = (max(1, int((self.y[~self.apart] == c).sum())) for c in (0, 1))
+        kept = []
+        for giver, taker in ((0, 1), (1, 0)):
+            of = [[i for i in np.flatnonzero(picks[:, giver] == c) if keys[i] not in self.extra[taker]] for c in (0, 1)]
+            units = min(len(of[0]) / bad, len(of[1]) / good, most / (bad + good))
+            chosen = [(i, c) for c, share in ((0, bad), (1, good)) for i in of[c][: int(units * share)]]
+            kept.append(0)
+            if chosen:
+                extra = self.extra[taker] | {keys[i]: ((text_x, meta_x)[taker][i], c) for i, c in chosen}
+                model = self._fitted(taker, extra)
+                platt = self._calibrated(taker, model)
+                if self._loss(taker, model, platt) <= self._loss(taker, self.models[taker], self.platt[taker]):
+                    self.extra[taker], self.models[taker], self.platt[taker] = extra, model, platt
+                    kept[-1] = len(chosen)
+        return kept
+
+    def result(self) -> CoTrained:
+        """A view has a part in the combination only where it earns it: likelihood on the rows kept apart less 2 for each view is largest."""
+        z, y = np.c_[tuple(self.platt[k].logit(self.models[k].logit(self.x[k][self.apart])[:, None]) for k in (0, 1))], self.y[self.apart]
+        options = []
+        for use in ([True, False], [False, True], [True, True]):
+            both = Logistic.fit(np.where(use, z, 0.0), y, rising=True)
+            likelihood = -np.logaddexp(0, np.where(y == 1, -1, 1) * both.logit(np.where(use, z, 0.0))).sum()
+            both.weights = np.where(use, both.weights, 0.0)
+            options.append((likelihood - 2 * sum(use), both))
+        return CoTrained(self.models[0], self.models[1], (self.platt[0], self.platt[1]), max(options, key=lambda o: o[0])[1])
+
+
+def exchange_of(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, **options) -> Exchange | None:
+    """None if a class is missing among the rows that fit or those kept apart, a third of all."""
     apart = np.arange(len(y)) % 3 == 0
-    if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
+    return Exchange(text_x, meta_x, y, **options) if len(set(y[apart])) == 2 and len(set(y[~apart])) == 2 else None
+
+
+def co_train(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, handed_rows: int = 1000, **options) -> CoTrained | None:
+    """Co-training with a pool in memory; y has 0 and 1. None as in exchange_of()."""
+    state = exchange_of(text_x, meta_x, y, **options)
+    if state is None:
         return None
-    views = [(text_x, pool_text), (meta_x, pool_meta)]
-    extra: list[dict[int, int]] = [{}, {}]  # pool rows that the other view has labelled
-    models: list[Logistic] = []
-    for turn in range(rounds + 1):
-        models = []
-        for (x, pool), own in zip(views, extra):
-            rows, labels = list(own), np.array(list(own.values()), float)
-            models.append(Logistic.fit(np.r_[x[~apart], pool[rows]], np.r_[y[~apart], labels]))
-        if turn == rounds or not len(pool_text):
+    for _ in range(rounds):
+        if not sum(state.learn(list(range(len(pool_text))), pool_text, pool_meta, state.picks(pool_text, pool_meta, state.thresholds()), handed_rows)):
             break
-        for k, (model, (_, pool)) in enumerate(zip(models, views)):
-            p = _sigmoid(model.logit(pool))
-            trust = np.maximum(p, 1 - p)
-            for i in np.argsort(-trust, kind="stable")[: int(share * len(p)) + 1]:
-                if trust[i] >= sure:
-                    extra[1 - k].setdefault(int(i), int(p[i] > 0.5))
-    logits = [m.logit(x)[apart] for m, (x, _) in zip(models, views)]
-    platt = tuple(Logistic.fit(z[:, None], y[apart]) for z in logits)
-    calibrated = np.c_[tuple(c.logit(z[:, None]) for c, z in zip(platt, logits))]
-    return CoTrained(models[0], models[1], platt, Logistic.fit(calibrated, y[apart]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, meta_cols: tuple[str, ...], length_col: str, labelled_rows: int, pool_rows: int, rounds: int, seed: int) -> CoTrained | None:
-    """Draws the two samples of docs by hash, gathers their features and fits."""
+    return state.result()
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, meta_cols: tuple[str, ...], length_col: str, labelled_rows: int, handed_rows: int, rounds: int, seed: int) -> CoTrained | None:
+    """Draws the labelled sample by hash, then lets the views exchange rows of all documents."""
     by_hash = F.xxhash64(F.lit(seed), F.col("id"))
     agreed = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     drawn = stage(agreed.select("id", "y").orderBy(by_hash, "id").limit(labelled_rows), "labels")
-    share = pool_rows / max(docs.count(), 1)
-    in_pool = F.xxhash64(F.lit(seed + 1), F.col("id")) < F.lit(int(max(min(2.0 * share - 1, 1.0), -1.0) * (2**63 - 1024)))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"m{i}") for i, c in enumerate(meta_cols)], docs[length_col].alias("length"))
+    key = F.xxhash64(F.lit(seed), *rows.columns)
     # drawn has labelled_rows rows at most: small whatever the input.
-    rows = rows.join(F.broadcast(drawn), "id", "left").where(F.col("y").isNotNull() | in_pool)
+    rows = rows.withColumn("key", key).join(F.broadcast(drawn), "id", "left")
+
+    def features_of(b) -> np.ndarray:
+        m = meta_features([(c, b.column(f"m{i}").to_pylist()) for i, c in enumerate(meta_cols)], b.column("length").to_pylist())
+        return np.c_[text_features(b.column("text").to_pylist()), m].astype("<f4")
+
+    def gathered(got: list) -> np.ndarray:
+        return np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(len(got), -1 if got else TEXT_WIDTH).astype(float)
 
     def featured(batches):
         import pyarrow as pa
 
         for b in batches:
-            x = text_features(b.column("text").to_pylist())
-            m = meta_features([(c, b.column(f"m{i}").to_pylist()) for i, c in enumerate(meta_cols)], b.column("length").to_pylist())
-            both = np.c_[x, m].astype("<f4")
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([r.tobytes() for r in both], pa.binary())], names=["id", "y", "x"])
-
-    made = rows.mapInArrow(featured, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())]))
-    order = (by_hash, "id", "x")
-    found = stage(made, "features")  # of about labelled_rows + pool_rows documents
-
-    def gathered(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-        got = df.orderBy(*order).limit(most).collect()
-        x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(len(got), -1 if got else TEXT_WIDTH).astype(float)
-        return x, np.array([r.y if r.y is not None else -1 for r in got])
-
-    x, y = gathered(found.where("y is not null"), labelled_rows)
-    if len(set(y.tolist())) < 2:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("key"), pa.array([r.tobytes() for r in features_of(b)], pa.binary())], names=["id", "y", "key", "x"])
+
+    # One row for each labelled id, whatever its rows in docs: the first by hash, found before features are made.
+    known = rows.where("y is not null")
+    first = known.groupBy("id").agg(F.min_by(F.struct(*[c for c in known.columns if c != "id"]), "key").alias("r")).select("id", "r.*")
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("x", T.BinaryType())])
+    got = first.mapInArrow(featured, schema).orderBy(by_hash, "id").limit(labelled_rows).collect()
+    x, y = gathered(got), np.array([r.y for r in got])
+    state = exchange_of(x[:, :TEXT_WIDTH], x[:, TEXT_WIDTH:], y)
+    if state is None:
         return None
-    pool, _ = gathered(found.where("y is null"), pool_rows)
-    pool = pool if len(pool) else np.zeros((0, x.shape[1]))
-    return co_train(x[:, :TEXT_WIDTH], x[:, TEXT_WIDTH:], y, pool[:, :TEXT_WIDTH], pool[:, TEXT_WIDTH:], rounds)
+    unlabelled = rows.where("y is null").drop("id", "y")
+    for _ in range(rounds):
+        at = state.thresholds()
+        if not any(max(t) <= 1 for t in at):  # no view may hand over both classes
+            break
+        quota = 20 + 4 * handed_rows // max(1, unlabelled.rdd.getNumPartitions())
+
+        def picked(batches, state=state, at=at, quota=quota):
+            """Of a partition the first rows by hash of each view and class, about four times its share of what is handed over."""
+            import pyarrow as pa
+
+            held: dict[tuple[int, int], list] = {(k, c): [] for k in (0, 1) for c in (0, 1)}
+            for b in batches:
+                both = features_of(b).astype(float)
+                picks = state.picks(both[:, :TEXT_WIDTH], both[:, TEXT_WIDTH:], at)
+                keys = b.column("key").to_pylist()
+                for (k, c), best in held.items():
+                    best += [(keys[i], both[i].astype("<f4").tobytes()) for i in np.flatnonzero(picks[:, k] == c)]
+                    best.sort()
+                    del best[quota:]
+            out = [(key, k, c, x) for (k, c), best in held.items() for key, x in best]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["key", "view", "label", "x"])
+
+        found = stage(unlabelled.mapInArrow(picked, "key long, view int, label int, x binary"), "picked")
+        got = [r for k in (0, 1) for c in (0, 1) for r in found.where((F.col("view") == k) & (F.col("label") == c)).orderBy("key", "x").limit(handed_rows).collect()]
+        if not got:
+            break
+        x = gathered(got)
+        picks = np.full((len(got), 2), -1, np.int8)
+        picks[np.arange(len(got)), [r.view for r in got]] = [r.label for r in got]
+        if not sum(state.learn([r.key for r in got], x[:, :TEXT_WIDTH], x[:, TEXT_WIDTH:], picks, handed_rows)):
+            break
+    return state.result()
 
 
 def classify(
@@ -202,7 +312,7 @@ def classify(
     length_col: str = "n_chars",
     min_score: float = 0.5,
     labelled_rows: int = 6000,
-    pool_rows: int = 4000,
+    handed_rows: int = 1000,
     rounds: int = 3,
     seed: int = 11,
     keep_columns: tuple[str, ...] | None = None,
@@ -214,7 +324,7 @@ def classify(
     columns = ("text_score", "meta_score", "score", "kept")
     keep = [f for f in df.schema.fields if keep_columns is None or f.name in keep_columns]
     names = beside([f.name for f in keep], columns)
-    model = fit(df if training is None else training, labels, id_col, text_col, label_col, meta_cols, length_col, labelled_rows, pool_rows, rounds, seed)
+    model = fit(df if training is None else training, labels, id_col, text_col, label_col, meta_cols, length_col, labelled_rows, handed_rows, rounds, seed)
     schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, keep)] + [T.StructField(c, T.BooleanType() if c == "kept" else T.DoubleType()) for c in columns])
 
     def scored(batches):
