@@ -1,6 +1,6 @@
 """Licence scans: canonical digests of whole texts, looked up among known licences.
 
-A text's canonical form has lower-case A-Z, no copyright lines, one spelling of words that licences
+A text's canonical form has lower-case A-Z, no copyright lines and no "all rights reserved", one spelling of words that licences
 spell in several ways, and one space for each run of other signs than a-z, 0-9 and those beyond
 ASCII. Equal digests of the canonical form mean equal licences. Whole texts are joined by hash with
 the digests of known licences; a text's lines are looked up among the digests of known notices,
@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backleaf.llm.common import beside
+from backleaf.llm.common import beside, stage
 
 # Spellings that count as equal, from the matching guidelines for licence lists.
 EQUIVALENT = (
@@ -186,13 +186,20 @@ def full_texts() -> tuple[tuple[str, str], ...]:
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A line that names a copyright owner, or reserves rights, to its end; the text is lower-case by then.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;>-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*"
-#: As COPYRIGHT_LINE, but a line in which a sentence of a licence goes on ("copyright notice and ...") stays.
-OWNER_LINE = (
-    r"(^|\n)[ \t*#/;>-]*(copyright\b(?![ \t]*([.;)]|\r?\n|$|,(?![ \t]*\d))|[ \t]+(notice|holder|owner|licen[cs]e|law|statement|interest|disclaimer|treaty|treaties|and|or|in|to|as|of|for|is)s?\b)"
-    r"|\(c\)|©|all rights reserved)[^\n]*"
-)
+#: What a line may start with before its words.
+_MARKS = r"[ \t*#/;>-]*"
+# The words that follow "copyright" where a sentence of a licence goes on.
+_SENTENCE_WORDS = "notices?|holders?|owners?|ownership|licen[cs]es?|laws?|statements?|interests?|disclaimers?|treaty|treaties|permission|doctrines|resulting|and|or|in|to|as|of|for|is|are|on|if"
+_OWNER, _ALL_RIGHTS = r"\(c\)[ \t,]*([0-9]|copyright\b)|©", r"all rights reserved[ \t.\r]*"
+#: A phrase that no licence needs, wherever it stands.
+RESERVED = "(^| )all rights reserved( |$)"
+_ON = rf"[ \t]*[.;)\"'-]|[ \t]*\(c\)[ \t]*_|,[ \t]*[^0-9 \t]|[ \t]+({_SENTENCE_WORDS})\b"
+_AUTHORS = r"[^\n]*\b(authors|contributors)\b"
+#: A line (lower-case) that names a copyright owner or reserves rights: "copyright" with a sign, year or name, "(c)" with a year, "©".
+#: It belongs to the licence all the same if its sentence goes on after "copyright"; "the" goes on unless authors follow.
+OWNER_LINE = rf"(^|\n){_MARKS}(copyright\b(?!{_ON}|[ \t]*(\r?\n|$)|[ \t]+the\b(?!{_AUTHORS}))|{_OWNER}|{_ALL_RIGHTS}(?=\n|$))[^\n]*"
+#: The same for one line, without lookahead, for DuckDB: lines that match the first and neither of the others.
+OWNER_START, GOES_ON, GOES_ON_THE, AUTHORS = rf"^{_MARKS}(copyright\b|{_OWNER}|{_ALL_RIGHTS}$)", rf"^{_MARKS}copyright({_ON}|[ \t]*\r?$)", rf"^{_MARKS}copyright[ \t]+the\b", rf"^{_AUTHORS}"
 SIGNS = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 
 
@@ -208,7 +215,7 @@ def canonical(text: Column) -> Column:
 
 def whole(canonical_text: Column) -> Column:
     """All lines as one; spellings of several words are replaced once more, as a line may have ended within them."""
-    out = F.regexp_replace(canonical_text, "[ \n]+", " ")
+    out = F.regexp_replace(F.regexp_replace(canonical_text, "[ \n]+", " "), RESERVED, " ")
     for variant, one in EQUIVALENT:
         if " " in variant:
             out = F.replace(out, F.lit(variant), F.lit(one))
@@ -219,18 +226,30 @@ def digest(canonical_text: Column) -> Column:
     return F.sha2(canonical_text, 256)
 
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(license_id, digest), one row for each digest."""
+def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] | DataFrame) -> DataFrame:
+    """(license_id, digest), one row for each digest; texts is a list or a table (license_id, text)."""
+    if isinstance(texts, DataFrame):
+        rows = texts.select("license_id", digest(whole(canonical(F.col("text")))).alias("digest"))
+        return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     listed = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in texts])
     rows = spark.range(1).select(F.explode(listed).alias("x")).select("x.*")
     return rows.select("license_id", digest(whole(canonical(F.col("text")))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(df: DataFrame, text_col: str = "text", licenses: tuple[tuple[str, str], ...] | None = None, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+def scan(
+    df: DataFrame,
+    text_col: str = "text",
+    licenses: tuple[tuple[str, str], ...] | DataFrame | None = None,
+    notices: tuple[tuple[str, str], ...] = NOTICES,
+    most_broadcast: int = 100_000,
+    line_slack: int = 2,
+) -> DataFrame:
     """df with text_digest, license_id (of the whole text, or null) and notice_ids (sorted, of its lines).
 
-    licenses and notices are lists in the caller's memory, so their digests may be broadcast whole.
-    licenses: by default LICENSES, variants(), full_texts() and NOTICES.
+    licenses: a list, or a table (license_id, text); by default LICENSES, variants(), full_texts() and NOTICES. Its
+    digests are broadcast if they are counted to be at most most_broadcast, about 100 bytes each, else joined by shuffle.
+    line_slack: canonical lines over line_slack times as long as the longest notice are not hashed, as none equals a
+    notice (canonical forms may grow, by less than that).
     """
     licenses = LICENSES + variants() + full_texts() + NOTICES if licenses is None else licenses
     made = ("text_digest", "license_id", "notice_ids")
@@ -238,36 +257,49 @@ def scan(df: DataFrame, text_col: str = "text", licenses: tuple[tuple[str, str],
     longest = max((len(t) for _, t in notices), default=0)
     own = [f"c{i}" for i in range(len(df.columns))]
     rows = df.select(*[df[c].alias(n) for c, n in zip(df.columns, own)], canonical(df[text_col]).alias("canonical"))
-    rows = rows.select(*own, digest(whole(F.col("canonical"))).alias("text_digest"), F.filter(F.split("canonical", "\n"), lambda x: F.char_length(x).between(2, 2 * longest)).alias("lines"))
+    rows = rows.select(*own, digest(whole(F.col("canonical"))).alias("text_digest"), F.filter(F.split("canonical", "\n"), lambda x: F.char_length(x).between(2, line_slack * longest)).alias("lines"))
     found = F.transform("lines", lambda x: digest(F.trim(x)))
     table = F.create_map(*[F.lit(x) for item in line_ids.items() for x in item])
     ids = F.array_sort(F.array_distinct(F.transform(F.array_intersect(found, F.array(*map(F.lit, line_ids))), lambda d: F.element_at(table, d))))
-    by_digest = F.broadcast(known(df.sparkSession, licenses).withColumnRenamed("digest", "text_digest"))
+    by_digest = known(df.sparkSession, licenses).withColumnRenamed("digest", "text_digest")
+    if isinstance(licenses, DataFrame):
+        by_digest = stage(by_digest, "licences")
+    if not isinstance(licenses, DataFrame) or by_digest.count() <= most_broadcast:
+        by_digest = F.broadcast(by_digest)
     rows = rows.select(*own, "text_digest", ids.alias("notice_ids")).join(by_digest, "text_digest", "left")
     return rows.select(*[F.col(n).alias(c) for c, n in zip(beside(df.columns, made), own)], *made)
 
 
 def canonical_sql(text: str) -> str:
-    """canonical() in DuckDB's SQL."""
-    out = f"translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}')"
-    out = rf"regexp_replace({out}, '{COPYRIGHT_LINE}', '\1', 'g')"
+    """canonical() in DuckDB's SQL: lines that name an owner are filtered out one by one."""
+    lower = f"translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}')"
+    starts, on, the, authors = (f"regexp_matches(x, '{p}')" for p in (OWNER_START, GOES_ON.replace("'", "''"), GOES_ON_THE, AUTHORS))
+    out = f"array_to_string(list_filter(string_split({lower}, chr(10)), lambda x: NOT ({starts} AND NOT ({on} OR {the} AND NOT {authors}))), chr(10))"
     out = f"regexp_replace({out}, '{SIGNS}', ' ', 'g')"
     for variant, one in EQUIVALENT:
         out = f"replace({out}, '{variant}', '{one}')"
     return out
 
 
+def whole_sql(canonical: str) -> str:
+    out = f"regexp_replace({canonical}, '[ \n]+', ' ', 'g')"
+    for variant, one in EQUIVALENT:
+        if " " in variant:
+            out = f"replace({out}, '{variant}', '{one}')"
+    return f"trim({out})"
+
+
 def known_sql(texts: tuple[tuple[str, str], ...]) -> str:
     quoted = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in texts)
-    return f"""SELECT min(license_id) AS license_id, sha256(trim(regexp_replace({canonical_sql('text')}, '[ \n]+', ' ', 'g'))) AS digest
+    return f"""SELECT min(license_id) AS license_id, sha256({whole_sql(canonical_sql('text'))}) AS digest
         FROM (VALUES {quoted}) v(license_id, text) GROUP BY 2"""
 
 
 def scan_sql() -> str:
     """scan() of the table documents in DuckDB's SQL, with notice_ids as one string."""
     return f"""WITH c AS (SELECT doc_id, row_number() OVER () AS r, {canonical_sql('text')} AS canonical FROM documents),
-    w AS (SELECT doc_id, r, canonical, sha256(trim(regexp_replace(canonical, '[ \n]+', ' ', 'g'))) AS text_digest FROM c),
+    w AS (SELECT doc_id, r, canonical, sha256({whole_sql('canonical')}) AS text_digest FROM c),
     l AS (SELECT r, sha256(trim(unnest(string_split(canonical, chr(10))))) AS digest FROM w),
     n AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notice_ids FROM l JOIN ({known_sql(NOTICES)}) k USING (digest) GROUP BY r)
     SELECT doc_id, text_digest, k.license_id, coalesce(notice_ids, '') AS notice_ids
-    FROM w LEFT JOIN ({known_sql(LICENSES + NOTICES)}) k ON k.digest = text_digest LEFT JOIN n USING (r)"""
+    FROM w LEFT JOIN ({known_sql(LICENSES + variants() + full_texts() + NOTICES)}) k ON k.digest = text_digest LEFT JOIN n USING (r)"""

@@ -1,6 +1,8 @@
+import hashlib
+import re
 import textwrap
 
-import pytest
+from helpers import docs
 
 from backleaf.llm import licenses
 
@@ -22,10 +24,81 @@ def test_titles_and_full_texts(spark):
     assert got == {"no title": "MIT", "title": "MIT", "bsd": "BSD-3-Clause", "given": "Apache-2.0", **{i: i for i in full}}
 
 
-@pytest.mark.parametrize("width", [40, 60, 72, 79])
-def test_line_breaks_do_not_matter(spark, width):
-    want = {i: t for i, t in TEXT.items()}
-    assert found(spark, {i: textwrap.fill(t, width, break_long_words=False) for i, t in want.items()}) == {i: i for i in want}
+def plain_canonical(text):
+    """The canonical form word by word, without the module's expressions."""
+    kept = []
+    for line in text.split("\n"):
+        line = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
+        bare = line.lstrip(" \t*#/;>-")
+        if bare.startswith("©") or bare.rstrip(" \t\r.") == "all rights reserved" or re.match(r"\(c\)[ \t,]*(\d|copyright\b)", bare):
+            continue
+        if re.match(r"copyright\b", bare):
+            rest = bare.removeprefix("copyright").rstrip("\r")
+            after = re.findall(r"\w+", rest)[:1]
+            on = not rest.strip(" \t") or rest.lstrip(" \t")[0] in ".;)\"'-" or re.match(r"[ \t]*\(c\)[ \t]*_", rest) or rest[0] == "," and rest[1:].lstrip(" \t")[:1] not in tuple("0123456789 \t") and rest[1:].strip()
+            on = on or rest[:1] in " \t" and rest.lstrip(" \t")[:1].isalpha() and after and re.fullmatch(licenses._SENTENCE_WORDS, after[0])
+            on = on or rest[:1] in " \t" and after == ["the"] and not re.search(r"\b(authors|contributors)\b", rest)
+            if not on:
+                continue
+        kept.append(line)
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "\n".join(kept))
+    out = re.sub("(^| )all rights reserved( |$)", " ", " ".join(words)).strip()
+    for variant, one in licenses.EQUIVALENT:
+        out = out.replace(variant, one)
+    return out
+
+
+def wrapped(text, width):
+    """Paragraphs filled to the width; lines that name a copyright owner stand by themselves, as they do in files."""
+    out, part = [], []
+    for line in [*text.split("\n"), ""]:
+        alone = re.match(r"\s*(copyright (\(c\)|\[|\d)|all rights reserved)", line, re.I)
+        if alone or not line.strip():
+            out += [textwrap.fill(" ".join(part), width, break_long_words=False, break_on_hyphens=False), line.strip()]
+            part = []
+        else:
+            part.append(line.strip())
+    return "\n".join(out)
+
+
+def test_line_breaks_titles_and_owners_do_not_matter(spark):
+    """Every known text at every width from 40 to 120, with its titles, with and without a copyright block."""
+    known = {hashlib.sha256(plain_canonical(t).encode()).hexdigest(): i for i, t in licenses.LICENSES + licenses.variants() + licenses.full_texts()}
+    texts = {}
+    for i, text in licenses.LICENSES + licenses.variants():
+        head, _, body = text.partition("\n\n")
+        titled = head in licenses.TITLES[i]
+        for width in range(40, 121):
+            filled = wrapped(body if titled else text, width)
+            if width % 3 == 0:
+                filled = f"{head if titled else ''}\n\nCopyright (c) 2011-2020, A. Person <a@b.example>\nAll rights reserved.\n\n{filled}"
+            elif titled:
+                filled = f"{head}\n\n{filled}"
+            texts[f"{i} {len(texts)}"] = filled
+    for i, text in licenses.full_texts():
+        for width in range(40, 121):
+            texts[f"{i} {len(texts)}"] = wrapped(text, width)
+    plain = {n: known.get(hashlib.sha256(plain_canonical(t).encode()).hexdigest()) for n, t in texts.items()}
+    want = {n: n.split()[0] for n in texts}
+    bsd = {"BSD-2-Clause", "BSD-3-Clause", "0BSD"}
+    assert {n for n in want if plain[n] != want[n] and not {plain[n], want[n]} <= bsd} == set()
+    some = {n: t for k, (n, t) in enumerate(texts.items()) if k % 29 == 0}
+    assert found(spark, some) == {n: plain[n] for n in some}
+
+
+def test_digests_equal_the_plain_ones(spark, sf_dir):
+    odd = ["copyright", "Copyright\r\nholder x", "Copyright, 2020 A", "copyright, and", "Copyright The Go Authors.\nx", "copyright the software", "(c) you may\nsub-\nlicence", "(c) 2020\n© x\ny", "All rights reserved.\r\n(c) 2020 A\nAll rights reserved to all\nx, all rights reserved", "# Copyright: 2001\nper\ncent"]
+    rows = [(-1 - k, t) for k, t in enumerate(odd)] + [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: r.text_digest for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == {i: hashlib.sha256(plain_canonical(t or "").encode()).hexdigest() for i, t in rows}
+
+
+def test_a_table_of_licences(spark):
+    table = spark.createDataFrame([("mine", "My own licence:\n\ntake it."), ("other", "Leave it.")], "license_id string, text string")
+    df = docs(spark, [(1, "Copyright 2020 Me\nMY OWN LICENSE -- take it"), (2, "leave\nit"), (3, "x")])
+    for most in (100, 0):
+        got = {r.doc_id: r.license_id for r in licenses.scan(df, licenses=table, most_broadcast=most).collect()}
+        assert got == {1: "mine", 2: "other", 3: None}
 
 
 def test_sentences_that_go_on_with_copyright_stay(spark):
