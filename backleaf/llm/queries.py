@@ -73,7 +73,8 @@ def op10_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    shards = F.expr("array_join(transform(array_sort(transform(draws, d -> d.shard)), s -> cast(s as string)), ',')")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
 #: A conversation that op2 formats beside the table's, for its control strings.

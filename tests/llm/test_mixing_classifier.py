@@ -73,11 +73,57 @@ def test_mix_meets_targets_to_the_word(spark, sf_dir, blocks):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
-def test_splitting_tree_keeps_quotas(spark):
-    quotas = spark.createDataFrame([([0, 1, 7, 1000, 40_000],)], "n array<long>")
-    leaves = [r.n for r in mixing.split(quotas, 4, 3).collect()]
-    assert len(leaves) == 16 and np.array(leaves).sum(0).tolist() == [0, 1, 7, 1000, 40_000]
-    assert max(map(sum, leaves)) - min(map(sum, leaves)) <= 1 and np.array(leaves).min() >= 0
+@pytest.mark.parametrize("fan_bits", [1, 2, 10])
+def test_splitting_tree_keeps_quotas(spark, fan_bits):
+    want = [0, 1, 7, 1000, 40_000]
+    quotas = spark.createDataFrame(list(enumerate(want)), "rank long, n long")
+    leaves = np.zeros((16, 5), int)
+    for r in mixing.split(quotas, 4, 5, 3, fan_bits).collect():
+        assert leaves[r.node, r.rank] == 0 and r.n > 0
+        leaves[r.node, r.rank] = r.n
+    assert leaves.sum(0).tolist() == want
+    assert leaves.sum(1).max() - leaves.sum(1).min() <= 1
+    assert abs(leaves[:, 3] - 62.5).max() < 6 * 62.5**0.5
+
+
+def test_shards_take_their_quotas_of_each_source(spark, sf_dir):
+    """The draws of blocks, as the plan deals them: each once, shards of equal number, sources mixed in each."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = raw.select("source", F.xxhash64("doc_id").alias("h"), mixing.word_count(F.col("text")).alias("size")).cache()
+    by_source, by_block = mixing.plan(sized, mixing.WEIGHTS, 3, 4, 65536, 64, 1000, 4, 20)
+    draws = by_block.select("rank", "block", F.explode("block_draws").alias("d")).select("rank", "block", "d.*").collect()
+    assert len({(r.rank, r.block, r["pass"]) for r in draws}) == len(draws)
+    per_shard = np.bincount([r.shard for r in draws], minlength=4)
+    assert per_shard.max() - per_shard.min() <= 1
+    for rank in {r.rank for r in draws}:
+        n = np.bincount([r.shard for r in draws if r.rank == rank], minlength=4)
+        assert abs(n - n.sum() / 4).max() <= 5 * max(1, n.sum() / 4) ** 0.5
+    words = {r.source: r.w for r in mixing.drawn_rows(mixing.mix(raw, shards=4, least_words=64)).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("w")).collect()}
+    assert all(abs(words[r.source] - r.target) <= 0.5 for r in by_source.collect())
+
+
+def test_many_sources(spark):
+    """100,000 sources: by their number in the tree's arrays, and joined by shuffle, not broadcast."""
+    n = 100_000
+    df = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c"), F.when(F.col("id") % 3 == 0, "d e")).alias("text"), F.lpad((F.col("id") % n).cast("string"), 6, "0").alias("source"))
+    out = mixing.mix(df, shards=4, most_broadcast=1000)
+    got = out.select("source", "source_size", "target", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken")).groupBy("source").agg(F.first("source_size").alias("z"), F.first("target").alias("t"), F.sum("taken").alias("taken"), F.count("*").alias("k"))
+    row = got.agg(F.count("*").alias("n"), F.max(F.abs(F.col("taken") - F.col("t"))).alias("off"), F.max(F.col("t") / F.col("z")).alias("most"), F.sum("t").alias("t"), F.sum("z").alias("z"), F.min("k").alias("k")).first()
+    assert row.n == n and row.k == 2 and row.off <= 0.5 and row.most <= 3 and row.t == pytest.approx(row.z)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_the_cut_falls_on_copies(spark, whole):
+    """Rows alike in all columns: of 40 copies as many are taken as the cut leaves, the same in every run; whole documents stay whole."""
+    text = "one two three four five six seven"
+    df = docs(spark, [(1, text, "en", "a", 1)] * 40 + [(2, text, "en", "b", 1)] * 25 + [(3, text, "en", "c", 1)] * 25)
+    got = [mixing.mix(df.repartition(k, "doc_id"), shards=2, whole=whole).collect() for k in (1, 3)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) and len(got[0]) == 90
+    for s in "abc":
+        rows = [r for r in got[0] if r.source == s]
+        taken = sum(d.words for r in rows for d in r.draws)
+        assert abs(taken - rows[0].target) <= (3.5 if whole else 0.5)
+        assert not whole or all(d.words == 7 for r in rows for d in r.draws)
 
 
 @pytest.mark.parametrize(("good", "bad", "draws"), [(5, 5, 5), (3, 40, 21), (1000, 9000, 5000), (0, 9, 4), (9, 0, 4), (30_000, 70_000, 50_000)])
