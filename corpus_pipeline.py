@@ -2,8 +2,14 @@
 
 Each stage takes all rows its predecessor kept and returns the columns of documents, the last the
 pieces of packed sequences. Rules and classifier drop what they reject, near-dedup keeps the row
-with the smallest id of each class, mixing repeats or drops rows so that sources meet their
+with the smallest id of each class, mixing repeats or drops whole documents so that sources meet their
 targets, packing cuts the ids of all rows into windows of at most 2048.
+
+Defined results, stage by stage: a null or empty text fails the rules (no words); other nulls, null ids among
+them, pass through, each with the bucket, class or source of its own that the stage's operator defines; very
+long texts are read whole; repeated rows are judged alike, of which near-dedup keeps one; ties of
+rows alike in id and text go by a hash of all columns; an empty table gives an empty result of the same columns;
+further columns, with whatever names, are passed on by all stages but the last.
 """
 
 from __future__ import annotations
@@ -32,7 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return restored(mixing.drawn_rows(mixing.mix(docs), length_col="n_chars"), docs.columns)
+    """Whole documents; the rows of each partition, and so of each file written, are in the order of their shards."""
+    rows = mixing.drawn_rows(mixing.mix(docs, whole=True))
+    return restored(rows.sortWithinPartitions("shard", "place"), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
