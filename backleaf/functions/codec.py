@@ -88,6 +88,12 @@ def parse_key(text: str | None) -> bytes:
     return bytes.fromhex(text)
 
 
+def key_fault(text: Column) -> Column:
+    """What parse_key() says of a requested key, null for a good one."""
+    even_hex = text.rlike("^([0-9a-fA-F]{2})*$")
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("the key is missing")).when(~even_hex, F.lit("the key is not hex")).when(F.char_length(text) != 64, F.lit("the key is not of 32 bytes"))
+
+
 def lookup_json(positions: list[int] | None) -> str:
     """A lookup's answer; proofs and checkpoints of it are null, and so are the positions of an unknown key."""
     fields = {"output_log_cp": None, "output_log_leaf": None, "output_log_proof": None, "index_key": [0] * 32, "index_value": positions, "index_proof": None}

@@ -48,9 +48,14 @@ def before(leaf: Column, idx: Column, mark: str = ":") -> Column:
     return F.when(F.instr(text, mark) == 0, failing(idx, f"no {mark}")).otherwise(F.array(sha256(F.substring_index(text, mark, 1))))
 
 
+def word_names(text: Column) -> Column:
+    """Each run of a-z in the lower-cased text, repeats included: names, for index.named_chunks."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+
 def words(text: Column) -> Column:
-    """A key for each run of a-z in the lower-cased text, repeats included."""
-    return hashed_all(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
+    """A key for each of word_names()."""
+    return hashed_all(word_names(text))
 
 
 def url_host(url: Column) -> Column:
@@ -64,11 +69,14 @@ def host_and_parents(url: Column) -> Column:
     return hashed_all(F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
-def from_python(f: Callable[[bytes], list[bytes]], leaf: Column) -> Column:
-    """A mapping in Python, in Arrow batches, for what columns cannot express."""
+def from_python(f: Callable[[bytes], list[bytes]], leaf: Column, idx: Column | None = None) -> Column:
+    """A mapping in Python, in Arrow batches, for what columns cannot express; with idx, an error names the leaf's position."""
 
     @F.udf(T.ArrayType(T.BinaryType()), useArrow=True)
-    def mapped(data):
-        return [bytes(k) for k in f(bytes(data))]
+    def mapped(data, at):
+        try:
+            return [bytes(k) for k in f(bytes(data))]
+        except Exception as why:
+            raise ValueError(f"mapping index {'?' if at is None else at}: {why}") from why
 
-    return mapped(leaf.cast("binary"))
+    return mapped(leaf.cast("binary"), F.lit(None).cast("long") if idx is None else idx)

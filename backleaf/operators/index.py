@@ -11,10 +11,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backleaf.functions.hashing import be64_all
+from backleaf.functions.hashing import sha256
 
 #: Positions that share a chunk.
 CHUNK = 1 << 16
@@ -33,9 +34,18 @@ def chunks(posts: DataFrame, size: int | None = None) -> DataFrame:
     return posts.groupBy("key", by).agg(F.sort_array(F.collect_list("idx")).alias("idxs"))
 
 
+def named_chunks(log: DataFrame, names: Column, idx_col: str = "idx", size: int | None = None) -> DataFrame:
+    """chunks() of a mapping that gives names (array<string>), whose SHA-256 are the keys.
+
+    Names are grouped as they are, and each is hashed once a chunk, not once an occurrence.
+    """
+    posts = log.select(F.explode(names).alias("key"), F.col(idx_col).cast("long").alias("idx")).where("key is not null")
+    return chunks(posts, size).select(sha256(F.col("key")).alias("key"), "chunk", "idxs")
+
+
 def digests(of: DataFrame) -> DataFrame:
-    """(key, n, digest) from chunks: how many positions, and SHA-256 over all of them in order."""
-    rows = of.select("key", F.get("idxs", F.lit(0)).alias("first"), F.size("idxs").cast("long").alias("n"), be64_all(F.col("idxs")).alias("data"))
+    """(key, n, digest) from chunks: how many positions, and SHA-256 over all of them in order, each as eight bytes, the highest first."""
+    rows = of.select("key", "chunk", "idxs")
 
     def streamed(batches) -> Iterator:
         import pyarrow as pa
@@ -45,13 +55,15 @@ def digests(of: DataFrame) -> DataFrame:
 
         now, total, state, done = None, 0, None, []
         for b in batches:
-            for key, n, data in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), b.column("data").to_pylist()):
+            lists = b.column("idxs")
+            data, ends = np.asarray(lists.flatten()).astype(">i8").tobytes(), np.cumsum(np.asarray(lists.value_lengths())).tolist()
+            for key, a, z in zip(b.column("key").to_pylist(), [0, *ends], ends):
                 if key != now:
                     if now is not None:
                         done.append((now, total, state.digest()))
                     now, total, state = key, 0, hashlib.sha256()
-                total += n
-                state.update(data)
+                total += z - a
+                state.update(data[8 * a : 8 * z])
             if len(done) >= 10_000:
                 yield batch(done)
                 done = []
@@ -60,12 +72,13 @@ def digests(of: DataFrame) -> DataFrame:
         if done:
             yield batch(done)
 
-    return rows.repartition("key").sortWithinPartitions("key", "first").mapInArrow(streamed, "key binary, n long, digest binary")
+    return rows.repartition("key").sortWithinPartitions("key", F.get("idxs", F.lit(0))).mapInArrow(streamed, "key binary, n long, digest binary")
 
 
 def lists(of: DataFrame) -> DataFrame:
     """(key, idxs) with each list in one row: for lists known to fit one."""
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "idxs"))), lambda x: x["idxs"]))
+    # A chunk may lie in several rows, each of a range of positions.
+    whole = F.array_sort(F.flatten(F.collect_list("idxs")))
     return of.groupBy("key").agg(whole.alias("idxs"))
 
 

@@ -18,17 +18,25 @@ def leaf_hashes(log: DataFrame, leaf: Column, idx_col: str = "idx") -> DataFrame
     return log.select(F.col(idx_col).cast("long").alias("i"), leaf_hash(leaf).alias("h"))
 
 
-def up(level: DataFrame) -> DataFrame:
-    """(i, h) of the tiles' roots, from (i, h) of the nodes in them."""
-    nodes = F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])
-    return level.groupBy(F.floor(F.col("i") / TILE).alias("i")).agg(fold(nodes).alias("h"))
+def tiles(level: DataFrame, n: int | None = None) -> DataFrame:
+    """(i, h) of the tiles' roots, from (i, h) of the nodes in them, of which there are n (full tiles only, if not given).
+
+    A tile with a node that is missing, there twice or at or beyond n raises when it is read.
+    """
+    nodes = F.array_sort(F.collect_list(F.struct("i", "h")))
+    of = level.groupBy(F.shiftright("i", TILE.bit_length() - 1).alias("i")).agg(nodes.alias("a"))
+    first = F.col("i") * TILE
+    size = F.lit(TILE).cast("long") if n is None else F.least(F.lit(TILE).cast("long"), F.lit(n).cast("long") - first)
+    at = F.transform("a", lambda x: x["i"])
+    dense = (F.size("a") == size) & (F.array_min(at) == first) & (F.array_max(at) == first + size - 1) & (F.size(F.array_distinct(at)) == size)
+    return of.select("i", F.when(dense, fold(F.transform("a", lambda x: x["h"]))).otherwise(F.raise_error(F.lit("the log has gaps or repeated positions"))).alias("h"))
 
 
 def root(leaves: DataFrame, size: int) -> DataFrame:
-    """One row with the root h over `size` leaves (i, h) at 0 to size - 1."""
+    """One row with the root h over `size` leaves (i, h), which hold each position from 0 to size - 1 once."""
     level, n = leaves.where(F.col("i") < size), size
     while True:
-        level, n = up(level), -(-n // TILE)
+        level, n = tiles(level, n), -(-n // TILE)
         if n <= 1:
             return level.select("h")
 
@@ -70,10 +78,12 @@ class Frontier:
 def extend(frontier: Frontier, leaves: DataFrame, end: int) -> Frontier:
     """The frontier at `end`, from leaf hashes (i, h) that hold each position from frontier.size to end - 1 once.
 
-    Full tiles are folded where they lie, level by level; the driver gets the nodes outside full
-    tiles only, at most 510 a level. A position that is missing, there twice or out of range raises.
+    Full tiles are folded where they lie, level by level; the driver gets the nodes outside full tiles only, at most
+    510 a level. The first level of tiles, 1/256 of the hashes, is kept (in memory or on disk) while
+    the levels above read it, so leaves are read twice: their edges, and all. A position that is missing, there twice
+    or out of range raises.
     """
-    level, lo, hi, height, edges = leaves.where(F.col("i") >= frontier.size), frontier.size, end, 0, []
+    level, lo, hi, height, edges, kept = leaves.where(F.col("i") >= frontier.size), frontier.size, end, 0, [], []
     while hi > lo:
         first, last = -(-lo // TILE), hi // TILE
         inner = (F.col("i") >= first * TILE) & (F.col("i") < last * TILE)
@@ -81,12 +91,12 @@ def extend(frontier: Frontier, leaves: DataFrame, end: int) -> Frontier:
         edges += [(r.i << height, height, bytes(r.h)) for r in got]
         if last <= first:
             break
-        whole = level.where(inner)
-        nodes = F.array_sort(F.collect_list(F.struct("i", "h")))
-        tiles = whole.groupBy(F.floor(F.col("i") / TILE).alias("i")).agg(nodes.alias("a"))
-        dense = (F.size("a") == TILE) & (F.element_at("a", 1)["i"] == F.col("i") * TILE) & (F.element_at("a", -1)["i"] == F.col("i") * TILE + TILE - 1) & (F.size(F.array_distinct(F.transform("a", lambda x: x["i"]))) == TILE)
-        level = tiles.select("i", F.when(dense, fold(F.transform("a", lambda x: x["h"]))).otherwise(F.raise_error(F.lit("the log has gaps or repeated positions"))).alias("h"))
+        level = tiles(level.where(inner))
+        if not kept:
+            kept.append(level.persist())
         lo, hi, height = first, last, height + 8
+    for x in kept:
+        x.unpersist()
     out = Frontier(frontier.size, frontier.hashes)
     for start, height, h in sorted(edges, key=lambda x: x[:2]):
         if start != out.size:

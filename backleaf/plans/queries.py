@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from backleaf.functions import codec, keys
-from backleaf.functions.hashing import hex_lower
+from backleaf.functions.hashing import hex_lower, leaf_hash
 from backleaf.operators import index, merkle, trie
 from backleaf.sources import log as logs
 
@@ -103,12 +103,12 @@ def index_multi_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(index_sql("SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name, doc_id AS idx FROM documents"))
 def index_doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(table(spark, sf_dir, "documents"), keys.words(F.col("text")), "doc_id")
+    return shown(index.digests(index.named_chunks(table(spark, sf_dir, "documents"), keys.word_names(F.col("text")), "doc_id")))
 
 
 @registered(index_sql("SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS name, doc_id AS idx FROM documents"))
 def index_doc_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(table(spark, sf_dir, "documents"), F.array_distinct(keys.words(F.col("text"))), "doc_id")
+    return shown(index.digests(index.named_chunks(table(spark, sf_dir, "documents"), F.array_distinct(keys.word_names(F.col("text"))), "doc_id")))
 
 
 @registered(index_sql("""SELECT array_to_string(labels[i:], '.') AS name, page_id AS idx
@@ -180,8 +180,8 @@ def leaf_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM t WHERE lvl < 8 GROUP BY i // 2)
     SELECT i AS tile, lower(hex(h)) AS tile_root FROM t WHERE lvl = 8""")
 def log_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = merkle.leaf_hashes(table(spark, sf_dir, "events"), event_leaf(), "event_id")
-    return merkle.up(leaves).select(F.col("i").alias("tile"), hex_lower(F.col("h")).alias("tile_root"))
+    rows = table(spark, sf_dir, "events")
+    return merkle.tiles(merkle.leaf_hashes(rows, event_leaf(), "event_id"), rows.count()).select(F.col("i").alias("tile"), hex_lower(F.col("h")).alias("tile_root"))
 
 
 @registered(root_sql(EVENT_LEAVES))
@@ -190,15 +190,24 @@ def log_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.root(merkle.leaf_hashes(rows, event_leaf(), "event_id"), rows.count()).select(hex_lower(F.col("h")).alias("root"))
 
 
-SIZES = (1, 255, 256, 257, 700)
+#: Sizes at the edges of a tile, and shares of the whole log: each as a function of its size and as SQL.
+SIZES = (
+    (lambda n: 1, "1"),
+    (lambda n: 255, "255"),
+    (lambda n: 256, "256"),
+    (lambda n: 257, "257"),
+    (lambda n: n // 2, "(SELECT count(*) // 2 FROM events)"),
+    (lambda n: n - 1, "(SELECT count(*) - 1 FROM events)"),
+    (lambda n: n, "(SELECT count(*) FROM events)"),
+)
 
 
-@registered(" UNION ALL ".join(f"SELECT {n}::BIGINT AS size, root FROM ({root_sql(EVENT_LEAVES + f' WHERE event_id < {n}')})" for n in SIZES))
+@registered(" UNION ALL ".join(f"SELECT {n}::BIGINT AS size, root FROM ({root_sql(EVENT_LEAVES + f' WHERE event_id < {n}')})" for _, n in SIZES))
 def log_root_at_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = merkle.leaf_hashes(table(spark, sf_dir, "events"), event_leaf(), "event_id")
-    out = None
-    for n in SIZES:
-        row = merkle.root(leaves, n).select(F.lit(n).cast("long").alias("size"), hex_lower(F.col("h")).alias("root"))
+    rows = table(spark, sf_dir, "events")
+    leaves, n, out = merkle.leaf_hashes(rows, event_leaf(), "event_id"), rows.count(), None
+    for of, _ in SIZES:
+        row = merkle.root(leaves, of(n)).select(F.lit(of(n)).cast("long").alias("size"), hex_lower(F.col("h")).alias("root"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -236,19 +245,22 @@ def lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_lists(index.lookup_many(index.chunks(event_posts(spark, sf_dir)), asked(spark, "banana"), n))
 
 
-@registered("SELECT sha256(event_type) AS key_hex, string_agg(event_id, ',' ORDER BY event_id) FILTER (event_id < 500) AS positions, 500::BIGINT AS size FROM events GROUP BY event_type")
+@registered("""SELECT sha256(event_type) AS key_hex, coalesce(string_agg(event_id, ',' ORDER BY event_id) FILTER (event_id < (SELECT count(*) // 2 FROM events)), '') AS positions,
+    (SELECT count(*) // 2 FROM events) AS size FROM events GROUP BY event_type""")
 def lookup_at_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = event_posts(spark, sf_dir)
-    return shown_lists(index.lookup_many(index.chunks(posts), posts.select("key").distinct(), 500))
+    posts, n = event_posts(spark, sf_dir), table(spark, sf_dir, "events").count()
+    return shown_lists(index.lookup_many(index.chunks(posts), posts.select("key").distinct(), n // 2))
 
 
 @registered("""SELECT sha256(u::VARCHAR) AS key_hex, positions, (SELECT count(*) FROM events) AS size
-    FROM (SELECT unnest(range(0, 1000)) AS u) LEFT JOIN (SELECT user_id, string_agg(event_id, ',' ORDER BY event_id) AS positions FROM events GROUP BY 1) ON user_id = u""")
+    FROM (SELECT DISTINCT user_id AS u FROM events UNION SELECT DISTINCT -1 - user_id FROM events)
+    LEFT JOIN (SELECT user_id, string_agg(event_id, ',' ORDER BY event_id) AS positions FROM events GROUP BY 1) ON user_id = u""")
 def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users, and as many names that the index lacks."""
     rows = table(spark, sf_dir, "events")
     of = index.chunks(index.postings(rows, keys.hashed(F.col("user_id")), "event_id"))
-    wanted = spark.range(1000).select(F.explode(keys.hashed(F.col("id"))).alias("key"))
-    return shown_lists(index.lookup_many(of, wanted, rows.count()))
+    users = rows.select("user_id").union(rows.select(-1 - F.col("user_id"))).distinct()
+    return shown_lists(index.lookup_many(of, users.select(F.explode(keys.hashed(F.col("user_id"))).alias("key")), rows.count()))
 
 
 @registered("SELECT event_id, user_id, event_type, value FROM events WHERE user_id IN (3, 5, 8)")
@@ -270,11 +282,12 @@ def lookup_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Following the log
 
 
-@registered("SELECT DISTINCT sha256(user_id::VARCHAR) AS key_hex FROM events WHERE event_id >= 900")
+@registered("SELECT DISTINCT sha256(user_id::VARCHAR) AS key_hex FROM events WHERE event_id >= (SELECT count(*) - count(*) // 10 FROM events)")
 def changed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     posts = index.postings(rows, keys.hashed(F.col("user_id")), "event_id")
-    return index.changed_keys(posts, 900, rows.count()).select(hex_lower(F.col("key")).alias("key_hex"))
+    n = rows.count()
+    return index.changed_keys(posts, n - n // 10, n).select(hex_lower(F.col("key")).alias("key_hex"))
 
 
 @registered(index_sql("SELECT o_orderpriority AS name, o_orderkey AS idx FROM orders UNION ALL SELECT o_custkey::VARCHAR, o_orderkey FROM orders"))
@@ -329,22 +342,41 @@ def bundle_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select(F.col("i").alias("idx"), hex_lower(F.col("h")).alias("leaf_hash"))
 
 
-@registered("""SELECT idx, CASE idx % 2 WHEN 0 THEN 'a' ELSE 'b' END AS module FROM (SELECT unnest(range(0, 100)) AS idx)""")
+@registered("""SELECT idx, module, version, sha256(module || version) AS hash, sha256(unhex('00') || ('{"module":"' || module || '","version":"' || version || '","hash":"' || to_base64(unhex(sha256(module || version))) || '"}')::BLOB) AS leaf_hash
+    FROM (SELECT idx, ['foo', 'bar', 'baz', 'splat'][('0x' || d[1:8])::BIGINT % 4 + 1] AS module,
+                 strftime(make_timestamp(idx * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN nanos = '' THEN '' ELSE '.' || nanos END || 'Z' AS version
+          FROM (SELECT idx, d, rtrim(lpad((('0x' || d[9:16])::BIGINT % 1000000000)::VARCHAR, 9, '0'), '0') AS nanos
+                FROM (SELECT idx, sha256('1:' || idx) AS d FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS idx))))""")
 def generated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON leaves written and decoded again."""
-    entry = F.struct(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("module"), F.lit("v").alias("version"))
-    rows = spark.range(100).select("id", F.to_json(entry).alias("leaf"))
-    return rows.select(F.col("id").alias("idx"), F.from_json("leaf", logs.ENTRY)["module"].alias("module"))
+    """Leaves of the demonstration log, as many as events, decoded again."""
+    rows = logs.demo(spark, table(spark, sf_dir, "events").count()).rows
+    rows = rows.select("idx", F.from_json(F.col("leaf").cast("string"), logs.ENTRY).alias("e"), hex_lower(leaf_hash(F.col("leaf"))).alias("leaf_hash"))
+    return rows.select("idx", "e.module", "e.version", hex_lower(F.col("e.hash")).alias("hash"), "leaf_hash")
 
 
-# --- The index's own root (its encoding is this engine's; tests hold it against a plain recursion)
+# --- The index's own root, in this engine's encoding
+
+
+def trie_sql(index: str) -> str:
+    """The trie's root over a SELECT of key_hex and value_digest, few of them: the neighbours with the longest common prefix are joined, again and again."""
+    common = "bit_position('1'::BIT, xor(unhex(s[i].k)::BIT, unhex(s[i + 1].k)::BIT)) - 1"
+    return f"""WITH RECURSIVE t(s) AS (
+        SELECT list({{'k': key_hex, 'h': sha256(unhex('00' || key_hex || value_digest))}} ORDER BY key_hex) FROM ({index})
+        UNION ALL
+        SELECT s[:j - 1] || [{{'k': s[j].k, 'h': sha256(unhex('01' || format('{{:04x}}', gap) || lower(hex((left((unhex(s[j].k)::BIT)::VARCHAR, gap) || repeat('0', 256 - gap))::BIT::BLOB)) || s[j].h || s[j + 1].h))}}] || s[j + 2:]
+        FROM (SELECT s, list_max(gaps)::BIGINT AS gap, list_position(gaps, list_max(gaps)) AS j
+              FROM (SELECT s, list_transform(range(1, len(s)), lambda i: {common}) AS gaps FROM t WHERE len(s) > 1)))
+    SELECT s[1].h AS index_root FROM t WHERE len(s) = 1"""
+
+
+EVENT_INDEX = index_sql("SELECT event_type AS name, event_id AS idx FROM events")
 
 
 def event_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.digests(index.chunks(event_posts(spark, sf_dir)))
 
 
-@registered()
+@registered(trie_sql(EVENT_INDEX))
 def index_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = trie.root(trie.subtrees(event_digests(spark, sf_dir)))
     return spark.range(1).select(F.lit(root.hex()).alias("index_root"))
@@ -352,15 +384,26 @@ def index_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def index_root_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = index.postings(table(spark, sf_dir, "documents"), keys.words(F.col("text")), "doc_id")
-    root = trie.root(trie.subtrees(index.digests(index.chunks(posts))))
+    of = index.named_chunks(table(spark, sf_dir, "documents"), keys.word_names(F.col("text")), "doc_id")
+    root = trie.root(trie.subtrees(index.digests(of)))
     return spark.range(1).select(F.lit(root.hex()).alias("index_root"))
 
 
-@registered()
+@registered(f"""SELECT index_root || chr(10) || chr(10) || 'events' || chr(10) || n || chr(10) || to_base64(unhex(root)) || chr(10) AS leaf
+    FROM ({trie_sql(EVENT_INDEX)}), (SELECT count(*) AS n FROM events), ({root_sql(EVENT_LEAVES)})""")
 def publish_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     n = rows.count()
     frontier = merkle.extend(merkle.Frontier(), merkle.leaf_hashes(rows, event_leaf(), "event_id"), n)
     leaf = codec.revision_leaf(trie.root(trie.subtrees(event_digests(spark, sf_dir))), codec.format_checkpoint("events", n, frontier.root()))
     return spark.range(1).select(F.lit(leaf.decode()).alias("leaf"))
+
+
+@registered(f"""SELECT key_hex, sha256(unhex('00' || key_hex || value_digest)) AS leaf_hash FROM (SELECT *, count(*) OVER (PARTITION BY key_hex[1:4]) AS k
+    FROM ({index_sql("SELECT user_id::VARCHAR AS name, event_id AS idx FROM events")})) WHERE k = 1""")
+def trie_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtrees of users that are alone in theirs: their roots are their leaves' hashes."""
+    found = index.digests(index.chunks(index.postings(table(spark, sf_dir, "events"), keys.hashed(F.col("user_id")), "event_id")))
+    alone = found.groupBy(F.substring("key", 1, 2).alias("at")).count().where("count = 1")
+    parts = trie.subtrees(found)
+    return parts.join(alone, F.substring("first_key", 1, 2) == F.col("at"), "left_semi").select(hex_lower(F.col("first_key")).alias("key_hex"), hex_lower(F.col("root")).alias("leaf_hash"))

@@ -45,13 +45,38 @@ def from_bundles(bundles: DataFrame, bundle_size: int = 256) -> LogTable:
 MODULES = ("foo", "bar", "baz", "splat")
 
 
-def demo(spark: SparkSession, n: int, seed: int = 1) -> LogTable:
-    """n JSON leaves with module, version (a time as text) and hash (SHA-256 of both, base64), the same for a seed."""
-    rows = spark.range(n)
-    module = F.element_at(F.array(*map(F.lit, MODULES)), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(MODULES))) + 1).cast("int"))
-    version = F.date_format(F.timestamp_seconds(F.col("id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def demo_leaf(n: Column, seed: int = 1) -> Column:
+    """The n-th JSON leaf of a demonstration log: module, version (a time as text, to the nanosecond) and hash (SHA-256 of both, base64).
+
+    All of it follows from n and the seed: the module and the nanoseconds are read off SHA-256 of both.
+    """
+    drawn = F.sha2(F.concat_ws(":", F.lit(str(seed)), n.cast("string")), 256)
+
+    def digits(at: int) -> Column:
+        return F.conv(F.substring(drawn, at, 8), 16, 10).cast("long")
+
+    module = F.element_at(F.array(*map(F.lit, MODULES)), (digits(1) % len(MODULES) + 1).cast("int"))
+    nanos = F.rtrim(F.lpad((digits(9) % 10**9).cast("string"), 9, "0"), F.lit("0"))
+    at = F.date_format(F.timestamp_seconds(n), "yyyy-MM-dd'T'HH:mm:ss")
+    version = F.concat(at, F.when(nanos != "", F.concat(F.lit("."), nanos)).otherwise(F.lit("")), F.lit("Z"))
     entry = F.struct(module.alias("module"), version.alias("version"), F.base64(F.unhex(F.sha2(F.concat(module, version), 256))).alias("hash"))
-    return LogTable(rows.select(F.col("id").alias("idx"), F.to_json(entry).cast("binary").alias("leaf")))
+    return F.to_json(entry).cast("binary")
+
+
+def demo(spark: SparkSession, n: int, seed: int = 1) -> LogTable:
+    """The first n leaves; in the session's time zone, which should be UTC."""
+    return LogTable(spark.range(n).select(F.col("id").alias("idx"), demo_leaf(F.col("id"), seed).alias("leaf")))
+
+
+def demo_stream(spark: SparkSession, per_second: int = 1, seed: int = 1) -> DataFrame:
+    """The same leaves as a stream (idx, leaf), so many a second."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return rows.select(F.col("value").alias("idx"), demo_leaf(F.col("value"), seed).alias("leaf"))
+
+
+def write_wal(rows: DataFrame, path: str) -> None:
+    """Writes (idx, keys) as text files of a write-ahead log, each in order, files by ranges of positions."""
+    rows.repartitionByRange("idx").sortWithinPartitions("idx").select(codec.wal_row(F.col("idx"), F.col("keys"))).write.text(path)
 
 
 ENTRY = T.StructType([T.StructField("module", T.StringType()), T.StructField("version", T.StringType()), T.StructField("hash", T.BinaryType())])

@@ -16,9 +16,11 @@ PART = 1 << 16
 
 
 class Span(InputPartition):
-    def __init__(self, start: int, end: int):
+    """Positions from start to end - 1, and the files that may hold some of them."""
+
+    def __init__(self, start: int, end: int, files: tuple[str, ...] = ()):
         super().__init__(start)
-        self.start, self.end = start, end
+        self.start, self.end, self.files = start, end, files
 
 
 def checkpoint_sizes(folder: str) -> list[int]:
@@ -47,20 +49,38 @@ def write_checkpoint(folder: str, size: int, raw: bytes) -> None:
     store.move(f"{top}/checkpoints/.{size}", f"{top}/checkpoints/{size}")
 
 
-def spans(start: int, end: int) -> list[Span]:
+def bounds(folder: str, known: dict[str, tuple[int, int]] | None = None) -> dict[str, tuple[int, int]]:
+    """(lowest, highest) position of each file of leaves, by the statistics in its footer; files in known are not opened again."""
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileSelector, FileSystem
+
+    store, top = FileSystem.from_uri(folder)
+    known = {} if known is None else known
+    names = [f.path for f in store.get_file_info(FileSelector(f"{top}/leaves", allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    new = [n for n in names if n not in known]
+    for part in ds.dataset(new, filesystem=store, format="parquet").get_fragments() if new else ():
+        of = [g.statistics.get("idx") if g.num_rows else {"min": 0, "max": -1} for g in part.row_groups]
+        whole = all(of)  # without statistics, a file may hold any position
+        known[part.path] = (min((x["min"] for x in of), default=0), max((x["max"] for x in of), default=-1)) if whole else (0, 2**63 - 1)
+    return {n: known[n] for n in names}
+
+
+def spans(start: int, end: int, files: dict[str, tuple[int, int]] | None = None) -> list[Span]:
     edges = [start, *range(start - start % PART + PART, end, PART), end]
-    return [Span(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+    return [Span(a, b, tuple(f for f, (low, high) in (files or {}).items() if low < b and high >= a)) for a, b in zip(edges, edges[1:]) if b > a]
 
 
 def scan(folder: str, span: Span) -> Iterator:
-    """Arrow batches of idx and leaf in the span; other row groups are skipped by their statistics."""
+    """Arrow batches of idx and leaf in the span, from its files; other row groups are skipped by their statistics."""
     import pyarrow as pa
     import pyarrow.dataset as ds
     from pyarrow.fs import FileSystem
 
-    store, top = FileSystem.from_uri(folder)
+    if not span.files:
+        return
+    store, _ = FileSystem.from_uri(folder)
     at = ds.field("idx")
-    for batch in ds.dataset(f"{top}/leaves", filesystem=store, format="parquet").to_batches(columns=["idx", "leaf"], filter=(at >= span.start) & (at < span.end)):
+    for batch in ds.dataset(list(span.files), filesystem=store, format="parquet").to_batches(columns=["idx", "leaf"], filter=(at >= span.start) & (at < span.end)):
         yield pa.RecordBatch.from_arrays([batch.column("idx").cast(pa.int64()), batch.column("leaf").cast(pa.binary())], names=["idx", "leaf"])
 
 
@@ -86,7 +106,7 @@ class LogReader(DataSourceReader):
         self.folder = options["path"]
 
     def partitions(self):
-        return spans(0, max(checkpoint_sizes(self.folder), default=0)) or [Span(0, 0)]
+        return spans(0, max(checkpoint_sizes(self.folder), default=0), bounds(self.folder)) or [Span(0, 0)]
 
     def read(self, partition):
         return scan(self.folder, partition)
@@ -94,7 +114,7 @@ class LogReader(DataSourceReader):
 
 class LogStreamReader(DataSourceStreamReader):
     def __init__(self, options):
-        self.folder = options["path"]
+        self.folder, self.known = options["path"], {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"size": 0}
@@ -103,7 +123,7 @@ class LogStreamReader(DataSourceStreamReader):
         return {"size": max(checkpoint_sizes(self.folder), default=0)}
 
     def partitions(self, start: dict, end: dict):
-        return spans(start["size"], end["size"]) or [Span(0, 0)]
+        return spans(start["size"], end["size"], bounds(self.folder, self.known)) or [Span(0, 0)]
 
     def read(self, partition):
         return scan(self.folder, partition)

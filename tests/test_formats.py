@@ -95,6 +95,31 @@ def test_python_mapping(spark):
     assert [bytes(x) for x in got] == [hashlib.sha256(c).digest() for c in (b"a", b"b")]
 
 
+def test_failing_python_mapping_names_the_leaf(spark):
+    df = spark.createDataFrame([(7, b"ab"), (8, b"")], "idx long, leaf binary")
+    with pytest.raises(Exception, match="mapping index 8"):
+        df.select(keys.from_python(lambda x: [x[:1] * 32] if x else 1 / 0, F.col("leaf"), F.col("idx"))).collect()
+
+
+@pytest.mark.parametrize("text", [None, "", "abc", "zz", "ab" * 31, "ab" * 33, "ab" * 32])
+def test_faults_of_keys_as_a_column(spark, text):
+    try:
+        want = codec.parse_key(text) and None
+    except ValueError as fault:
+        want = str(fault)
+    assert spark.createDataFrame([(text,)], "t string").select(codec.key_fault(F.col("t"))).first()[0] == want
+
+
+def test_demo_stream(spark):
+    query = logs.demo_stream(spark, per_second=50).writeStream.format("memory").queryName("demo").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r.idx: bytes(r.leaf) for r in spark.table("demo").collect()}
+    assert got.items() <= {r.idx: bytes(r.leaf) for r in logs.demo(spark, len(got) + 1).rows.collect()}.items()
+
+
 def test_demo_log(spark):
     log = logs.demo(spark, 50)
     got = log.rows.select("idx", F.from_json(F.col("leaf").cast("string"), logs.ENTRY).alias("e")).select("idx", "e.*").collect()

@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from backleaf.plans import queries
+from backleaf.plans import queries, store_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))

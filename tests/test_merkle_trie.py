@@ -117,3 +117,11 @@ def test_digests_stream_over_chunks(spark):
     for name, want in (("a", [i for i in range(200_000) if i % 3 == 0]), ("b", [i for i in range(200_000) if i % 3])):
         key = hashlib.sha256(name.encode()).hexdigest().encode()
         assert got[key] == (len(want), hashlib.sha256(b"".join(i.to_bytes(8) for i in want)).digest())
+
+
+def test_root_refuses_gaps_and_repeats(spark):
+    leaves = merkle.leaf_hashes(spark.range(600).select(F.col("id").alias("idx")), F.col("idx").cast("string"))
+    assert merkle.root(leaves, 600).count() == 1
+    for broken in (leaves.where("i <> 300"), leaves.unionByName(leaves.where("i = 300")), leaves.where("i < 599")):
+        with pytest.raises(Exception, match="gaps or repeated"):
+            merkle.root(broken, 600).collect()

@@ -1,13 +1,14 @@
 """The stored index: updates, restarts, refusals, publication, streaming and HTTP."""
 
 import hashlib
+import json
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from backleaf import api
-from backleaf.functions import codec, keys
+from backleaf.functions import codec, keys, notes
 from backleaf.operators import merkle
 from backleaf.plans.store import IndexStore, RootMismatch
 from backleaf.sources import stream
@@ -159,6 +160,8 @@ def test_spans():
     cuts = [(s.start, s.end) for s in stream.spans(5, 3 * stream.PART)]
     assert cuts[0] == (5, stream.PART) and cuts[-1][1] == 3 * stream.PART and len(cuts) == 3
     assert stream.spans(7, 7) == []
+    files = {"a": (0, 4), "b": (5, 5), "c": (stream.PART, 3 * stream.PART), "d": (0, -1)}
+    assert [s.files for s in stream.spans(5, 3 * stream.PART, files)] == [("b",), ("c",), ("c",)]
 
 
 def test_http(spark, tmp_path):
@@ -177,3 +180,94 @@ def test_http(spark, tmp_path):
             api.fetch(url, "foo", "/elsewhere/")
     finally:
         server.shutdown()
+
+
+def test_many_updates_keep_few_folders(spark, tmp_path):
+    """A lookup that has begun ends after the next update; folders and postings are merged and removed."""
+    leaves = [f"{'abcdefg'[i * i % 7]}: {i}" for i in range(120)]
+    store, folders = store_of(spark, tmp_path, bucket_bits=2), []
+    log = log_of(spark, leaves)
+    for n in range(10, 121, 10):
+        reading = store.chunks()[0] if n > 10 else None
+        store.update(log, checkpoint(leaves[:n]))
+        assert reading is None or reading.agg(F.sum(F.size("idxs"))).first()[0] == n - 10
+        folders.append({k: len(list((tmp_path / "index" / k).iterdir())) for k in ("postings", "digests", "subtrees")})
+    assert max(f["postings"] for f in folders) <= 10 and max(f["digests"] for f in folders) <= 6 and max(f["subtrees"] for f in folders) <= 2
+    assert len(store.manifest()["postings"]) <= 5
+    for name in "abcdefg":
+        want = [i for i, x in enumerate(leaves) if x[0] == name] or None
+        assert store.lookup(key(name)) == store.probe(key(name)) == (want, 120)
+    once = IndexStore(spark, str(tmp_path / "once"), keys.before)
+    once.update(log, checkpoint(leaves))
+    assert once.index_root() == store.index_root()
+
+
+def test_newer_checkpoint_of_the_same_size_is_kept(spark, tmp_path):
+    for publish in (True, False):
+        store = IndexStore(spark, str(tmp_path / str(publish)), keys.before, publish_unchanged=publish)
+        first, second = checkpoint(FIXTURE) + b"\none\n", checkpoint(FIXTURE) + b"\ntwo\n"
+        store.update(log_of(spark, FIXTURE), first)
+        store.update(log_of(spark, FIXTURE), second)
+        assert store.checkpoint() == second
+        assert store.manifest()["revisions"] == (2 if publish else 1)
+
+
+def test_signed_logs(spark, tmp_path):
+    own = notes.Signer("test", bytes(range(32)))
+    out = notes.Signer("out.example", bytes(32))
+    store = store_of(spark, tmp_path, verify=notes.verifying(own.verifier()), signer=out)
+    with pytest.raises(notes.BadSignature):
+        store.update(log_of(spark, FIXTURE), checkpoint(FIXTURE))
+    store.update(log_of(spark, FIXTURE), own.signed(checkpoint(FIXTURE)))
+    n, covering = store.appended()
+    cp = notes.verifying(out.verifier())(covering)
+    assert n == 0 and cp.size == 1 and cp.root == merkle.tree_root([merkle.hash_leaf(store.revision(0))])
+    with pytest.raises(RootMismatch, match="other"):
+        IndexStore(spark, store.folder, keys.before).update(log_of(spark, FIXTURE), checkpoint(FIXTURE).replace(b"test", b"other", 1))
+
+
+def test_keys_and_signatures(tmp_path, monkeypatch):
+    # The second test of RFC 8032, section 7.1.
+    seed = bytes.fromhex("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb")
+    key_text, signature = "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"
+    assert notes.public_key(seed).hex() == key_text and notes.sign(seed, b"\x72").hex() == signature
+    assert not notes.is_signed(bytes.fromhex(key_text), b"\x73", bytes.fromhex(signature))
+    signer = notes.Signer("a", seed)
+    (tmp_path / "key").write_text(f"{signer}\n")
+    monkeypatch.setenv("BACKLEAF_TEST_KEY", str(signer))
+    assert notes.Signer.parse(notes.load_key(str(tmp_path / "key"))) == notes.Signer.parse(notes.load_key(None, "BACKLEAF_TEST_KEY")) == signer
+    for bad in ("", "x", str(signer)[:-4], str(signer.verifier())):
+        with pytest.raises(ValueError):
+            notes.Signer.parse(bad)
+    with pytest.raises(ValueError):
+        notes.load_key(None, "BACKLEAF_NO_SUCH_KEY")
+
+
+def test_failed_updates_are_tried_again(spark, tmp_path, monkeypatch):
+    folder, store = f"file://{tmp_path}/log", store_of(spark, tmp_path)
+    log_of(spark, FIXTURE).rows.write.parquet(f"{folder}/leaves")
+    stream.write_checkpoint(folder, 4, checkpoint(FIXTURE))
+    update, left = store.update, [2]
+
+    def flaky(log, raw):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise OSError("not now")
+        return update(log, raw)
+
+    monkeypatch.setattr(store, "update", flaky)
+    ingest.follow(store, folder, f"{tmp_path}/progress", wait_seconds=0).awaitTermination()
+    assert store.size() == 4 and left == [-1]
+
+
+def test_batch_client(spark, tmp_path):
+    store = store_of(spark, tmp_path)
+    store.update(log_of(spark, FIXTURE), checkpoint(FIXTURE))
+    server = api.serve(store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        names = spark.createDataFrame([("foo",), ("banana",), (None,)], "n string")
+        got = {r.name: json.loads(r.body)["index_value"] for r in api.fetch_many(names, f"http://127.0.0.1:{server.server_address[1]}").collect()}
+    finally:
+        server.shutdown()
+    assert got == {"foo": [0, 3], "banana": None}
