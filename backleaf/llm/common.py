@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from backleaf.sources.scratch import delete, drop_run, new_folder, shared_dir  # noqa: F401  (used by way of this module)
+
 #: A word, everywhere in this package: a longest run of characters other than ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is missing, a local session gets a temporary folder, which goes when
-    Python ends; any other session is refused, as executors would not see the driver's folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="backleaf-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/backleaf-{label}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table in the shared folder: lineage ends there, lost executors cost nothing."""
+    """df as a written table in the run's folder (see drop_run): lineage ends there, lost executors cost nothing."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -48,8 +23,7 @@ def release(*staged: DataFrame) -> None:
     for df in staged:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
 
 
 def unit_hash(*columns: Column, seed: int) -> Column:

@@ -6,7 +6,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from backleaf.llm import ann, warc
+from backleaf.llm import ann, queries, warc
 
 # --- nearest neighbours
 
@@ -76,6 +76,54 @@ def test_equal_vectors_ties_and_bad_rows(spark):
     assert got[0] == list(range(1, 21)) and got[20] == list(range(20))
 
 
+def test_overflowing_products_and_widths(spark):
+    """Products of components near 1e200 overflow: infinite scores first, no numbers last, no error; width chooses the vectors."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [1e200, -1e200]), (3, [1.0, 0.0]), (4, [-1e200, -1e200]), (5, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = answers(ann.search(df))[0]
+    assert [i for _, i, _ in got] == [1, 3, 2, 4] and got[0][2] == float("inf") and got[1][2] == 1e200
+    assert ann.search(df, width=3).count() == 0 and ann.search(df.withColumn("vec_id", F.col("vec_id") * 20), width=3).count() == 0
+
+
+def test_queries_with_too_few_within_their_radius_are_searched_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(100)]
+    monkeypatch.setattr(ann.Reach, "radius", lambda self, q: np.zeros(len(q), int))
+    got = {q: [i for _, i, _ in f] for q, f in answers(ann.search(vectors_df(spark, rows), shard_rows=30)).items()}
+    assert got == by_force(rows)
+
+
+def test_work_falls_as_rows_grow():
+    """Vectors around 200 centres: the share of rows that the tables touch, and that floats rank, at a recall of 0.95 or more."""
+    rng = np.random.default_rng(1)
+    centres, shares = rng.normal(size=(200, 32)), []
+    for n in (2000, 20_000):
+        x = centres[rng.integers(0, 200, n)] + 0.3 * rng.normal(size=(n, 32))
+        codes = ann.Codes(x[:1000], float(np.linalg.norm(x, axis=1).max()))
+        reach, shard = ann.Reach(codes, x[:1000], n, 20, 0.95), ann.Shard(codes.of_rows(x))
+        touched, ranked, found = 0, 0, 0
+        asked = np.arange(0, n, n // 100)
+        for i, code, radius in zip(asked, codes.of_queries(x[asked]), reach.radius(x[asked])):
+            touched += len(shard.touched(code, int(radius)))
+            near = shard.within(code, int(radius))
+            ranked += len(near)
+            products = x @ x[i]
+            products[i] = -np.inf
+            found += len(set(np.argsort(-products)[:20]) & set(near.tolist()))
+        shares.append((touched / n / len(asked), ranked / n / len(asked)))
+        assert found >= 0.95 * 20 * len(asked)
+    assert shares[1][0] < 0.6 * shares[0][0] and shares[1][1] < 0.3 * shares[0][1]
+
+
+def test_registered_query_recall(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    got = answers(queries.QUERIES["op6_nearest_neighbours"](spark, sf))
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = by_force(rows)
+    assert got.keys() == want.keys()
+    assert np.mean([len({i for _, i, _ in got[q]} & set(want[q])) / 20 for q in want]) >= 0.95
+
+
 def test_no_vectors(spark):
     assert ann.search(vectors_df(spark, [])).count() == 0
     assert ann.search(vectors_df(spark, [(0, None), (20, [0.0])])).count() == 0
