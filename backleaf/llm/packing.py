@@ -6,7 +6,7 @@ least room, which a segment tree over remaining capacities finds in logarithmic
 
 Work is by partition, without a shuffle: a partition's items are packed in groups of about
 group_tokens, so a task holds that much and no more, whatever its partition holds. Windows that a
-group leaves less than 15/16 full go on as items of the next group. The last group's are joined
+group leaves less than `full` (15/16) full go on as items of the next group. The last group's are joined
 and cut into full windows; its last tokens make windows of powers of two (power_tail) or one
 window. Sequence ids come from the partition's number and a counter, so a task that runs again
 gives the same rows.
@@ -101,8 +101,8 @@ class Piece:
 class Packer:
     """Turns documents into windows, each a list of pieces that fit; see the module."""
 
-    def __init__(self, window: int = 2048, group_tokens: int = 4_000_000, power_tail: bool = True):
-        self.window, self.group_tokens, self.power_tail = window, group_tokens, power_tail
+    def __init__(self, window: int = 2048, group_tokens: int = 4_000_000, power_tail: bool = True, full: float = 15 / 16):
+        self.window, self.group_tokens, self.power_tail, self.full = window, group_tokens, power_tail, full
         self.items: list[Piece] = []
         self.waiting = 0
 
@@ -124,7 +124,7 @@ class Packer:
         items, self.items, self.waiting = self.items, [], 0
         for places in best_fit([len(x) for x in items], self.window):
             window = [items[i] for i in places]
-            if (n := sum(map(len, window))) * 16 >= self.window * 15:
+            if (n := sum(map(len, window))) >= self.window * self.full:
                 yield window
             else:
                 self.items += window
@@ -186,8 +186,12 @@ def pack(
     end_id: int = 1,
     group_tokens: int = 4_000_000,
     with_ids: bool = False,
+    full: float = 15 / 16,
 ) -> DataFrame:
-    """One row for each piece: PIECE_SCHEMA, and with_ids its ids (binary, little-endian unsigned 32-bit)."""
+    """One row for each piece: PIECE_SCHEMA, and with_ids its ids (binary, little-endian unsigned 32-bit).
+
+    full: windows of a group that are less full, as a share of window, are packed once more with the next group.
+    """
     import pyarrow as pa
 
     path = tokenizer_path or tokens.public_path()
@@ -200,7 +204,7 @@ def pack(
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema.names)
 
-        for sequence, pieces in windows_of(batches, Packer(window, group_tokens), path, end_id):
+        for sequence, pieces in windows_of(batches, Packer(window, group_tokens, full=full), path, end_id):
             offset = 0
             for p in pieces:
                 row = (p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, sequence, offset)

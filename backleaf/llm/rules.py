@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,7 @@ from backleaf.llm.common import beside
 
 WHITE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
+_CAPITALS = regex.compile(r"\p{Lu}").findall
 
 
 class Doc:
@@ -78,7 +80,8 @@ class Doc:
 
     @cached_property
     def n_capitals(self) -> int:
-        return sum(map(str.isupper, self.text))
+        """Letters of category Lu."""
+        return len(_CAPITALS(self.text))
 
 
 @dataclass(frozen=True)
@@ -113,6 +116,15 @@ def odd_word_length(d: Doc) -> bool:
     return d.word_chars < 2 * d.n_words or d.word_chars > 15 * d.n_words
 
 
+def no_words(d: Doc) -> bool:
+    return not d.n_words
+
+
+def repeated_windows_of_many(d: Doc) -> bool:
+    """In a text of few words, a sentence said twice is half of it and no sign of junk."""
+    return d.n_words >= 50 and repeated_windows(d)
+
+
 #: Those whose outcome the registered query reports as base_failed.
 BASE_RULES = (Rule("few_words", few_words), Rule("repeated_windows", repeated_windows))
 MORE_RULES = (
@@ -121,6 +133,8 @@ MORE_RULES = (
     Rule("shouting", shouting),
     Rule("odd_word_length", odd_word_length),
 )
+#: For filtering: a short text is no bad one, so its length alone does not reject it.
+FILTER_RULES = (Rule("no_words", no_words), Rule("repeated_windows_of_many", repeated_windows_of_many), *MORE_RULES)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -160,18 +174,22 @@ def apply_rules(
     measured: tuple[Rule, ...] = (),
     keep_text: bool = True,
     sample_rows: int = 1000,
+    reason: bool = False,
 ) -> DataFrame:
-    """df with `kept`: false where a rule rejects the text.
+    """df with `kept`: false where a rule rejects the text; with `reason` also `rejected_by`, the first rule that does (or null).
 
     rules: these meet the documents in the order that estimate() finds best. measured: rules that
     are decided for every document before the cascade; if any are given, the columns of MEASURES
-    and `base_failed` (one of them rejects) are added as well. keep_text: whether text_col stays.
+    and `base_failed` (one of them rejects) are added as well; measures that a rule of the cascade shares with them
+    cost it nothing more. keep_text: whether text_col stays. Which rule comes first depends on measured times, so
+    rejected_by may differ between runs where several rules reject; kept never does.
     """
-    columns = [*(MEASURES if measured else ()), *(("base_failed",) if measured else ()), "kept"]
+    columns = [*(MEASURES if measured else ()), *(("base_failed",) if measured else ()), "kept", *(("rejected_by",) if reason else ())]
+    kinds = {"base_failed": T.BooleanType(), "kept": T.BooleanType(), "rejected_by": T.StringType()}
     kept_fields = [f for f in df.schema.fields if keep_text or f.name != text_col]
     names = beside([f.name for f in kept_fields], columns)
     cascade = ordered(rules, estimate(df, rules, text_col, sample_rows)) if len(rules) > 1 else rules
-    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, kept_fields)] + [T.StructField(c, T.BooleanType() if c in ("base_failed", "kept") else T.LongType()) for c in columns])
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, kept_fields)] + [T.StructField(c, kinds.get(c, T.LongType())) for c in columns])
 
     def judged(batches):
         import pyarrow as pa
@@ -181,12 +199,13 @@ def apply_rules(
             rows: list[tuple] = []
             for text in texts:
                 d = Doc(text)
-                base = any(r.rejects(d) for r in measured)
-                row = (*(getattr(d, m) for m in MEASURES), base) if measured else ()
-                rows.append((*row, not base and not any(r.rejects(d) for r in cascade)))
+                base = next((r.name for r in measured if r.rejects(d)), None)
+                row = (*(getattr(d, m) for m in MEASURES), base is not None) if measured else ()
+                by = base or next((r.name for r in cascade if r.rejects(d)), None)
+                rows.append((*row, by is None, *((by,) if reason else ())))
             arrays = [batch.column(f.name) for f in kept_fields]
             made = list(zip(*rows)) if rows else [()] * len(columns)
-            arrays += [pa.array(x, pa.bool_() if c in ("base_failed", "kept") else pa.int64()) for c, x in zip(columns, made)]
+            arrays += [pa.array(x, {"base_failed": pa.bool_(), "kept": pa.bool_(), "rejected_by": pa.string()}.get(c, pa.int64())) for c, x in zip(columns, made)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return df.mapInArrow(judged, schema)

@@ -8,7 +8,7 @@ one shard at least: cut in radius + 1 blocks, they agree in one block, and a sha
 fingerprints with the same leading bits of one block. Each shard's fingerprints make a BK-tree,
 where a child hangs on the integer Hamming distance to its parent, and each of them searches the
 tree along edges within the radius of its own distance only. A shard whose count passes `most`
-is dealt once more by the blocks of the remaining bits, so a dense group does not land in one task.
+is dealt again by the blocks of the remaining bits, and so on, so a dense group does not land in one task.
 A tree travels with its shard's queries through the shuffle, not as a broadcast: all trees together
 hold every fingerprint of the corpus, which has no size bound.
 
@@ -130,31 +130,38 @@ def bits(code: Column, low: int, n: int) -> Column:
     return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
 
 
-def near_links(codes: DataFrame, radius: int = 3, tree_size: int = 2048, most: int = 32768) -> DataFrame:
+def near_links(codes: DataFrame, radius: int = 3, tree_size: int = 2048, most: int = 32768, levels: int = 2) -> DataFrame:
     """(u, v) links that join what lies within radius bits, over the distinct longs in column fp.
 
     Each leads from a code to the smallest code of its group in a shard: one for each code and
     shard at most. A group is what steps within the radius connect.
-    tree_size: codes a shard should hold; most: codes beyond which a shard is dealt again.
+    tree_size: codes a shard should hold; most: codes beyond which a shard is dealt again, `levels` times at
+    most: after two, with a radius of 3, its codes agree in 37 bits.
     """
     blocks, n = radius + 1, codes.count()
     width = BITS // blocks
     lead = min(width, max(0, (n // tree_size).bit_length()))
     fp = F.col("fp")
-    dealt = codes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), bits(fp, t * width + width - lead, lead).alias("part")) for t in range(blocks)])).alias("s")).select("fp", "s.t", "s.part")
-    large = dealt.groupBy("t", "part").count().where(F.col("count") > most).select("t", "part", F.lit(True).alias("is_large"))
-    dealt = dealt.join(large, ["t", "part"], "left")
-    inner = (BITS - width) // blocks
 
-    def again(t: int) -> Column:  # the rest: the code turned so that block t comes last
-        rest = F.shiftleft(fp, BITS - (t + 1) * width).bitwiseOR(F.shiftrightunsigned(fp, (t + 1) * width)) if t + 1 < blocks else fp
-        return F.array(*[F.struct(F.lit(k).alias("k"), bits(rest, k * inner, inner).alias("sub"), bits(fp, t * width, width).alias("whole")) for k in range(blocks)])
-
-    plain = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("sub"), F.lit(0).cast("long").alias("whole")))
-    which = F.when(F.col("is_large").isNull(), plain)
-    for t in range(blocks):
-        which = which.when(F.col("t") == t, again(t))
-    dealt = dealt.select("fp", "t", "part", F.explode(which).alias("s")).select("fp", "t", "part", "s.k", "s.sub", "s.whole")
+    def rest(code: Column, low: int, n: int) -> Column:
+        """code without n bits from bit low on."""
+        above = F.shiftleft(F.shiftrightunsigned(code, low + n), low) if low + n < BITS else F.lit(0).cast("long")
+        return above.bitwiseOR(bits(code, 0, low)) if low else above
+
+    # key: the shard; whole: what all of its block, and those taken before, are; rest: the bits not taken yet.
+    first = [F.struct(F.xxhash64(F.lit(t), bits(fp, t * width + width - lead, lead)).alias("key"), F.xxhash64(F.lit(t), bits(fp, t * width, width)).alias("whole"), rest(fp, t * width, width).alias("rest")) for t in range(blocks)]
+    dealt, left = codes.select("fp", F.explode(F.array(*first)).alias("s")).select("fp", "s.*"), BITS - width
+    for _ in range(levels):  # shards above most are dealt again by the blocks of their rest
+        large = dealt.groupBy("key").count().where(F.col("count") > most).select("key")
+        if left < blocks or large.isEmpty():
+            break
+        dealt = stage(dealt, "dealt")
+        inner = left // blocks
+        deeper = [F.xxhash64("whole", F.lit(k), bits(F.col("rest"), k * inner, inner)) for k in range(blocks)]
+        again = F.array(*[F.struct(d.alias("key"), d.alias("whole"), rest(F.col("rest"), k * inner, inner).alias("rest")) for k, d in enumerate(deeper)])
+        large = dealt.groupBy("key").count().where(F.col("count") > most).select("key")
+        dealt = dealt.join(large, "key", "left_anti").unionByName(dealt.join(large, "key", "left_semi").select("fp", F.explode(again).alias("s")).select("fp", "s.*"))
+        left -= inner
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.sort(pdf["fp"].to_numpy(np.int64))
@@ -162,7 +169,7 @@ def near_links(codes: DataFrame, radius: int = 3, tree_size: int = 2048, most: i
         moved = root != np.arange(len(own))
         return pd.DataFrame({"u": own[moved], "v": own[root[moved]]})
 
-    return dealt.groupBy("t", "part", "k", "sub", "whole").applyInPandas(linked, "u long, v long")
+    return dealt.groupBy("key").applyInPandas(linked, "u long, v long")
 
 
 def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:

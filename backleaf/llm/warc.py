@@ -12,7 +12,9 @@ Each task writes archives of its own, under names that hold the task attempt, an
 the list of paths is a written table, so a task that runs twice leaves an unlisted file and no
 second copy. Files go to any store that pyarrow's file systems open by URI.
 
-Defined results: a null payload counts as empty; a null url is left out of the record; a null id
+Each archive starts with a warcinfo record, which does not count among its records.
+
+Defined results: a null payload counts as empty; a page with a null url has the record's id as its target; a null id
 stays null, and such a page is a revisit if an equal page has an id; rows alike in id and payload
 are alike in kind (all responses if theirs is the largest id); an empty table gives no archive and
 an empty result; other columns are not read.
@@ -38,8 +40,6 @@ DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
-#: Parts in which pages with one payload meet the row of that payload.
-SALTS = 16
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -49,13 +49,25 @@ def record_id(page_id: int | None, digest: str, place: str = "") -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}:{digest}')}>"
 
 
+def sha1_field(data: bytes) -> str:
+    return f"sha1:{base64.b32encode(data).decode()}"
+
+
+def info_record(place: str, date: str) -> bytes:
+    """The warcinfo record that an archive starts with."""
+    block = b"software: backleaf\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'archive:{place}')}>", f"WARC-Date: {date}", f"WARC-Block-Digest: {sha1_field(hashlib.sha1(block).digest())}"]
+    head += ["Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str, place: str) -> bytes:
-    """One WARC record; a revisit has the HTTP header only. digest: hex SHA-1 of the payload."""
-    block = HTTP_HEAD.format(len(payload)).encode() + (b"" if revisit else payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {date}"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="%/:?#[]@!$&'()*+,;=~-._"))
-    head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
+    """One WARC record; a revisit has the HTTP header only. digest: hex SHA-1 of the payload. A page without a URL has its record's id for it."""
+    block, own = HTTP_HEAD.format(len(payload)).encode() + (b"" if revisit else payload), record_id(page_id, digest, place)
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
+    head.append("WARC-Target-URI: " + (own[1:-1] if url is None else quote(url, safe="%/:?#[]@!$&'()*+,;=~-._")))
+    head.append(f"WARC-Payload-Digest: {sha1_field(bytes.fromhex(digest))}")
+    head.append(f"WARC-Block-Digest: {sha1_field(hashlib.sha1(block).digest())}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
@@ -112,15 +124,15 @@ def frames(stream, chunk: int = 1 << 16) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_revisit: int) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to, revisit) for each page."""
+def decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_revisit: int, salts: int = 16) -> DataFrame:
+    """(page_id, url, payload, digest, refers_to, revisit) for each page; pages with one payload meet its row in `salts` parts."""
     payload = F.coalesce(F.col("payload"), F.lit(""))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[payload_col].alias("payload"))
     rows = rows.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"), F.xxhash64(payload).alias("check"))
     equal = rows.where(F.col("n") >= least_revisit).groupBy("digest", "n", "check").agg(F.max("page_id").alias("keeper"), F.count("*").alias("pages"))
     equal = stage(equal.where("pages > 1 and keeper is not null").select("digest", "n", "check", "keeper"), "equal-pages")
-    salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "n", "check", "salt"], "left")
+    salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["digest", "n", "check", "salt"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return rows.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("keeper")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -166,6 +178,7 @@ def write(
                 if dictionary is not None:
                     raw = dictionary.as_bytes()
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
+                out.write(packer.compress(info_record(f"{folder}/{place}-{number:03d}", date)))
                 for x in samples:
                     out.write(packer.compress(x))
                     n += 1
@@ -198,6 +211,8 @@ def read(archives: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 with store.open_input_stream(path, compression=None) as stream:
                     for raw in frames(stream):
+                        if raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n"):
+                            continue
                         rows.append(parsed(raw))
                         if len(rows) == 5000:
                             yield batch(rows)

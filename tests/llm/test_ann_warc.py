@@ -174,7 +174,13 @@ def test_an_archive_reads_with_zstandard_alone(spark, sf_dir, tmp_path):
         one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
         first = one.decompress(data[8 + n :])
         assert first.startswith(b"WARC/1.1\r\nWARC-Type: ") and first.endswith(b"\r\n\r\n") and one.eof
-        assert sum(1 for _ in warc.frames(io.BytesIO(data), 100)) == a.records
+        assert sum(1 for _ in warc.frames(io.BytesIO(data), 100)) == a.records + 1  # and the archive's own
+        assert b"WARC-Type: warcinfo" in first
+        for raw in warc.frames(io.BytesIO(data)):
+            fields, block = raw.split(b"\r\n\r\n", 1)
+            own = dict(x.split(b": ", 1) for x in fields.split(b"\r\n")[1:])
+            assert {b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length"} <= own.keys() and (b"WARC-Target-URI" in own or own[b"WARC-Type"] == b"warcinfo")
+            assert own[b"WARC-Block-Digest"].decode() == warc.sha1_field(hashlib.sha1(block[: int(own[b"Content-Length"])]).digest())
 
 
 def test_broken_archives_are_errors():

@@ -26,6 +26,15 @@ def test_measures(text):
     assert tuple(getattr(d, m) for m in rules.MEASURES) == plain_measures(text)
 
 
+def test_the_rule_that_rejects_is_named(spark):
+    names = {r.name: r for r in rules.FILTER_RULES}
+    rows = rules.apply_rules(odd_docs(spark), rules.FILTER_RULES, reason=True).collect()
+    for r in rows:
+        assert (r.rejected_by is None) == r.kept and (r.kept or names[r.rejected_by].rejects(rules.Doc(r.text)))
+        assert r.kept == (not any(x.rejects(rules.Doc(r.text)) for x in rules.FILTER_RULES))
+    assert {r.rejected_by for r in rows} > {None, "no_words"}
+
+
 def test_rules_on_odd_rows(spark):
     df = odd_docs(spark).withColumn("kept", F.lit("mine"))
     got = rules.apply_rules(df, rules.MORE_RULES, measured=rules.BASE_RULES)

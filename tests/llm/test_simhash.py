@@ -66,7 +66,7 @@ def test_tree_of_few():
         assert len(q) == 2 * n
 
 
-@pytest.mark.parametrize("more", [{}, {"tree_size": 16, "most": 20}, {"tree_size": 1, "most": 10**9}])
+@pytest.mark.parametrize("more", [{}, {"tree_size": 16, "most": 20}, {"tree_size": 1, "most": 10**9}, {"tree_size": 16, "most": 12, "levels": 1}])
 def test_links_of_dense_groups(spark, more):
     rng = random.Random(1)
     codes = set()
@@ -78,7 +78,7 @@ def test_links_of_dense_groups(spark, more):
     signed = [x - 2**64 if x >> 63 else x for x in sorted(codes)]
     links = simhash.near_links(spark.createDataFrame(pd.DataFrame({"fp": signed})), 3, **more)
     pairs = links.toPandas()
-    assert len(pairs) <= 4 * 4 * len(codes)
+    assert len(pairs) <= 4 * 4 ** more.get("levels", 2) * len(codes)  # one for each code and shard, four shards a deal
     got = {r.node: r.root for r in components(links).collect()}
     want = plain_classes([(x, x, x & (2**64 - 1)) for x in signed])
     assert {x: got.get(x, x) for x in signed} == want
