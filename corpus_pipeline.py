@@ -21,7 +21,7 @@ from backleaf.llm.common import restored, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = rules.apply_rules(docs)
+    out = rules.apply_rules(docs, rules.FILTER_RULES)
     return restored(out.where(out["kept"]), docs.columns)
 
 
