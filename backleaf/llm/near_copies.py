@@ -122,8 +122,8 @@ def whole_sets(texts: DataFrame, needed: DataFrame, width: int) -> DataFrame:
 
         for b in batches:
             found = {}
-            for x in b.column("text").to_pylist():
-                own = shingles(x, width)
+            for x in b.column("text"):
+                own = shingles(x.as_py(), width)
                 s = set_id(own)
                 if bits[s % (64 * len(bits)) // 64] >> np.uint64(s % 64) & np.uint64(1):
                     found[s] = own.tobytes()
@@ -202,10 +202,16 @@ def copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import pyarrow as pa
 
         for b in batches:
-            own = [shingles(x, width) for x in b.column("text").to_pylist()]
-            arrays = [pa.array(list(map(set_id, own)), pa.int64()), pa.array([majority(x.view(np.uint64)) - 2**64 * (majority(x.view(np.uint64)) >> 63) for x in own], pa.int64()), pa.array(list(map(len, own)), pa.int64())]
-            keys = pa.array([band_keys(x) if len(x) else None for x in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *arrays, keys], names=["doc_id", "text_hash", "s", "fp", "n", "keys"])
+            s, fp, n, keys = [], [], [], []
+            for x in b.column("text"):  # one text at a time, so that no batch's sets are held together
+                own = shingles(x.as_py(), width)
+                code = majority(own.view(np.uint64))
+                s.append(set_id(own))
+                fp.append(code - 2**64 * (code >> 63))
+                n.append(len(own))
+                keys.append(band_keys(own) if len(own) else None)
+            arrays = [pa.array(c, pa.int64()) for c in (s, fp, n)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *arrays, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "s", "fp", "n", "keys"])
 
     read = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     rows = stage(read.mapInArrow(made, "doc_id long, text_hash long, s long, fp long, n long, keys array<long>"), "sets")
