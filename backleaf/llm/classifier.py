@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from backleaf.llm.common import beside, stage
+from backleaf.llm.common import beside, parts, stage
 
 _SHAPE = 8
 TEXT_WIDTH = 256 + _SHAPE
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     def featured(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("key"), pa.array([r.tobytes() for r in features_of(b)], pa.binary())], names=["id", "y", "key", "x"])
 
     # One row for each labelled id, whatever its rows in docs: the first by hash, found before features are made.
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             import pyarrow as pa
 
             held: dict[tuple[int, int], list] = {(k, c): [] for k in (0, 1) for c in (0, 1)}
-            for b in batches:
+            for b in parts(batches):
                 both = features_of(b).astype(float)
                 picks = state.picks(both[:, :TEXT_WIDTH], both[:, TEXT_WIDTH:], at)
                 keys = b.column("key").to_pylist()
@@ -330,7 +330,7 @@ def classify(
     def scored(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in parts(batches):
             n = b.num_rows
             if model is None:
                 scores = (np.ones(n),) * 3

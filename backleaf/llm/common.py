@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backleaf.sources.scratch import delete, drop_run, new_folder, shared_dir  # noqa: F401  (used by way of this module)
@@ -26,6 +29,31 @@ def release(*staged: DataFrame) -> None:
             delete(spark, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> Iterator[None]:
+    """What runs within gets Arrow batches of about `most` bytes (a longer row: by itself) instead of 10,000 rows, in the JVM and in Python.
+
+    It holds for tables that are written within, as by stage(), not for a result that is run later.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def parts(batches: Iterable, rows: int = 256) -> Iterator:
+    """Arrow batches cut to at most `rows` rows, so that what is made of a batch's rows is small whatever its size."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def unit_hash(*columns: Column, seed: int) -> Column:
     """A signed 64-bit hash of the columns, as good as random, the same in every run."""
     return F.xxhash64(F.lit(seed), *columns)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backleaf.llm.common import stage
+from backleaf.llm.common import parts, small_batches, stage
 from backleaf.llm.graph import components
 from backleaf.llm.simhash import BKTree, keep_classes, majority
 
@@ -42,6 +42,8 @@ SHARE = (4, 5)
 BANDS, ROWS = 20, 4
 _FACTORS = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 4096
+#: Shingles that are compared with a set's at once, or one set.
+_COMPARED = 1 << 18
 
 
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -71,15 +73,35 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """For each value its rank among the distinct ones, and their number: np.unique's inverse in half the memory."""
+    if not len(values):
+        return np.zeros(0, np.int32), 0
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.r_[False, ranked[1:] != ranked[:-1]]
+    del ranked
+    rank = np.cumsum(new, dtype=np.int32)
+    out = np.empty(len(values), np.int32)
+    out[order] = rank
+    return out, int(rank[-1]) + 1
+
+
 def linked(codes: np.ndarray, sets: list[np.ndarray], radius: int, share: tuple[int, int] = SHARE, at_once: int = 256) -> np.ndarray:
     """For the sets of a shard (codes: their fingerprints, ascending) the smallest position in the same linked group."""
     num, den = share
     n = np.array([len(x) for x in sets])
     starts = np.r_[0, np.cumsum(n)]
-    values, token = np.unique(np.concatenate(sets), return_inverse=True)
-    root, mark = np.arange(len(sets)), np.zeros(len(values), bool)
+    token, distinct_shingles = numbered(np.concatenate(sets))
+    root, mark = np.arange(len(sets)), np.zeros(distinct_shingles, bool)
     distinct, code_of = np.unique(codes, return_inverse=True)
     tree = BKTree(distinct)
+
+    def shared(at: np.ndarray) -> np.ndarray:
+        """How many marked shingles each of these sets has."""
+        edges = np.cumsum(n[at]) - n[at]
+        return np.add.reduceat(mark[token[np.repeat(starts[at] - edges, n[at]) + np.arange(n[at].sum())]], edges, dtype=np.int64)
+
     for first in range(0, len(distinct), at_once):
         q, v = tree.within(distinct[first : first + at_once], radius)
         order = np.argsort(q, kind="stable")
@@ -93,8 +115,7 @@ def linked(codes: np.ndarray, sets: list[np.ndarray], radius: int, share: tuple[
                 continue
             own = token[starts[u] : starts[u + 1]]
             mark[own] = True
-            edges = np.cumsum(n[at]) - n[at]
-            both = np.add.reduceat(mark[token[np.repeat(starts[at] - edges, n[at]) + np.arange(n[at].sum())]], edges, dtype=np.int64)
+            both = np.concatenate([shared(part) for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(n[at]) // _COMPARED, prepend=0))) if len(part)])
             mark[own] = False
             hits = np.unique(root[at[both * (num + den) >= num * (n[at] + n[u])]])
             if len(hits):
@@ -120,7 +141,7 @@ def whole_sets(texts: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     def made(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in parts(batches):
             found = {}
             for x in b.column("text"):
                 own = shingles(x.as_py(), width)
@@ -151,7 +172,7 @@ def shard_links(dealt: DataFrame, sets: DataFrame, shard: list[str], radius: int
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["u", "v"])
 
-        for b in batches:
+        for b in parts(batches):
             for *key, code, i, x in zip(*(b.column(c).to_pylist() for c in (*shard, "fp", "s", "own"))):
                 if key != at:
                     yield from links()
@@ -195,13 +216,18 @@ def near_links(texts: DataFrame, codes: DataFrame, width: int, radius: int, shar
 def copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 22, share: tuple[int, int] = SHARE, **bounds: int) -> DataFrame:
     """(doc_id, text_hash, component_id, keeper_hash) for every row of df, as simhash.duplicate_classes.
 
-    bounds: most_sets and most_shingles of near_links.
+    bounds: most_sets and most_shingles of near_links. All Python work is done, and written, when this returns.
     """
+    with small_batches(df.sparkSession):
+        return _copy_classes(df, id_col, text_col, width, radius, share, **bounds)
+
+
+def _copy_classes(df: DataFrame, id_col: str, text_col: str, width: int, radius: int, share: tuple[int, int], **bounds: int) -> DataFrame:
 
     def made(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in parts(batches):
             s, fp, n, keys = [], [], [], []
             for x in b.column("text"):  # one text at a time, so that no batch's sets are held together
                 own = shingles(x.as_py(), width)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from helpers import docs, empty_docs, odd_docs, words
 from test_simhash import plain_fingerprint
 
 import corpus_pipeline
-from backleaf.llm import near_copies, simhash
+from backleaf.llm import common, near_copies, simhash
 
 
 def plain_set(text, width=5):
@@ -83,6 +84,36 @@ def test_shard_search_equals_all_pairs():
     assert near_copies.linked(codes, sets, 22, at_once=16).tolist() == want
 
 
+def test_shard_search_holds_a_few_copies_of_its_sets():
+    """200 near copies of 4,000 shingles: at most 40 bytes a shingle beside the sets, and the links of all."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**63), 2**63, 4000, dtype=np.int64)
+    sets = [np.unique(np.r_[base[rng.random(4000) > 0.02], rng.integers(-(2**63), 2**63, 80, dtype=np.int64)]) for _ in range(200)]
+    codes = np.array([simhash.majority(x.view(np.uint64)) for x in sets], np.uint64)
+    order = np.argsort(codes, kind="stable")
+    codes, sets = codes[order], [sets[i] for i in order]
+    tracemalloc.start()
+    got = near_copies.linked(codes, sets, 22)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not got.any() and peak <= 40 * sum(map(len, sets)), peak / sum(map(len, sets))
+
+
+def test_python_gets_small_batches_within(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([max(x.num_rows for x in common.parts([b]))])], names=["n", "part"])
+
+    df = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 4000) as text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with common.small_batches(spark):
+        within = df.mapInArrow(sizes, "n long, part long").collect()
+    assert sum(r.n for r in within) == 3000 and max(r.n for r in within) <= 600 and max(r.part for r in within) <= 256
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_similar_sets_share_keys_and_bits():
     """Of 2,000 pairs at a similarity of just 0.8, all share a key and lie within the radius."""
     rng = np.random.default_rng(4)
