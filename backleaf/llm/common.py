@@ -29,22 +29,30 @@ def release(*staged: DataFrame) -> None:
             delete(spark, path)
 
 
+_BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = _BATCH_BYTES) -> None:
+    """As small_batches(), from now on, for results that run later; a bound that the session has been given stays."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(most))
+
+
 @contextmanager
-def small_batches(spark: SparkSession, most: int = 2 << 20) -> Iterator[None]:
+def small_batches(spark: SparkSession, most: int = _BATCH_BYTES) -> Iterator[None]:
     """What runs within gets Arrow batches of about `most` bytes (a longer row: by itself) instead of 10,000 rows, in the JVM and in Python.
 
     It holds for tables that are written within, as by stage(), not for a result that is run later.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(most))
+    before = spark.conf.get(_BATCH_KEY, None)
+    spark.conf.set(_BATCH_KEY, str(most))
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(key)
+            spark.conf.unset(_BATCH_KEY)
         else:
-            spark.conf.set(key, before)
+            spark.conf.set(_BATCH_KEY, before)
 
 
 def parts(batches: Iterable, rows: int = 256) -> Iterator:

@@ -114,6 +114,18 @@ def test_python_gets_small_batches_within(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
 
+def test_stages_bound_the_batches_of_results_that_run_later(spark):
+    key, df = "spark.sql.execution.arrow.maxBytesPerBatch", docs(spark, [(1, "a b c")])
+    before = spark.conf.get(key, None)
+    try:
+        for set_before, after in ((None, str(2 << 20)), ("3000000", "3000000")):
+            spark.conf.unset(key) if set_before is None else spark.conf.set(key, set_before)
+            corpus_pipeline.pack_sequences(spark, df, "")
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_similar_sets_share_keys_and_bits():
     """Of 2,000 pairs at a similarity of just 0.8, all share a key and lie within the radius."""
     rng = np.random.default_rng(4)
