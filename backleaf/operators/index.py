@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from backleaf.functions.batches import together
 from backleaf.functions.hashing import sha256
 
 #: Positions that share a chunk.
@@ -72,7 +73,7 @@ def digests(of: DataFrame) -> DataFrame:
         if done:
             yield batch(done)
 
-    return rows.repartition("key").sortWithinPartitions("key", F.get("idxs", F.lit(0))).mapInArrow(streamed, "key binary, n long, digest binary")
+    return together(rows, "key", F.get("idxs", F.lit(0))).mapInArrow(streamed, "key binary, n long, digest binary")
 
 
 def lists(of: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from backleaf.functions.batches import together
+
 EMPTY = bytes(32)
 
 
@@ -80,7 +82,7 @@ def subtrees(digests: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "first_key", "root"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(built, "bucket int, first_key binary, root binary")
+    return together(rows, "bucket", "key").mapInArrow(built, "bucket int, first_key binary, root binary")
 
 
 def root(of_subtrees: DataFrame) -> bytes:
