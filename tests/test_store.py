@@ -271,3 +271,23 @@ def test_batch_client(spark, tmp_path):
     finally:
         server.shutdown()
     assert got == {"foo": [0, 3], "banana": None}
+
+
+def test_scan_reads_each_row_group_once_in_small_batches(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, folder = 200_000, f"file://{tmp_path}"
+    (tmp_path / "leaves").mkdir()
+    order = [i * 7919 % n for i in range(n)]  # in no order of positions
+    leaves = [b"%d:" % i * 20 for i in order]
+    pq.write_table(pa.table({"idx": pa.array(order, pa.int64()), "leaf": leaves}), tmp_path / "leaves/a.parquet", row_group_size=n // 2)
+    parts = stream.LogReader({"path": folder}).partitions()
+    assert len(parts) == 1 and not list(stream.scan(folder, parts[0]))  # without a checkpoint, nothing is published
+    stream.write_checkpoint(folder, n - 1, b"")
+    parts = stream.LogReader({"path": folder}).partitions()
+    assert len(parts) == 2
+    batches = [b for p in parts for b in stream.scan(folder, p)]
+    assert max(b.nbytes for b in batches) < 8 << 20
+    got = sorted(zip([i for b in batches for i in b.column("idx").to_pylist()], [x for b in batches for x in b.column("leaf").to_pylist()]))
+    assert got == sorted(x for x in zip(order, leaves) if x[0] < n - 1)
