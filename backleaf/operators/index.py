@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backleaf.functions.batches import together
+from backleaf.functions.batches import bound_batches, parts, together
 from backleaf.functions.hashing import sha256
 
 #: Positions that share a chunk.
@@ -47,6 +47,7 @@ def named_chunks(log: DataFrame, names: Column, idx_col: str = "idx", size: int
 def digests(of: DataFrame) -> DataFrame:
     """(key, n, digest) from chunks: how many positions, and SHA-256 over all of them in order, each as eight bytes, the highest first."""
     rows = of.select("key", "chunk", "idxs")
+    bound_batches(of.sparkSession)  # 10,000 lists at once may be gigabytes
 
     def streamed(batches) -> Iterator:
         import pyarrow as pa
@@ -55,7 +56,7 @@ def digests(of: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary()))], names=["key", "n", "digest"])
 
         now, total, state, done = None, 0, None, []
-        for b in batches:
+        for b in parts(batches, 16):  # a list has CHUNK positions at most
             lists = b.column("idxs")
             data, ends = np.asarray(lists.flatten()).astype(">i8").tobytes(), np.cumsum(np.asarray(lists.value_lengths())).tolist()
             for key, a, z in zip(b.column("key").to_pylist(), [0, *ends], ends):

@@ -291,3 +291,16 @@ def test_scan_reads_each_row_group_once_in_small_batches(tmp_path):
     assert max(b.nbytes for b in batches) < 8 << 20
     got = sorted(zip([i for b in batches for i in b.column("idx").to_pylist()], [x for b in batches for x in b.column("leaf").to_pylist()]))
     assert got == sorted(x for x in zip(order, leaves) if x[0] < n - 1)
+
+
+def test_digests_bound_their_arrow_batches(spark):
+    from backleaf.operators import index
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        index.digests(spark.createDataFrame([(b"k", 0, [1])], "key binary, chunk long, idxs array<long>"))
+        assert int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
