@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from backleaf.functions.batches import bound_batches, parts, small_batches  # noqa: F401  (likewise)
 from backleaf.sources.scratch import delete, drop_run, new_folder, shared_dir  # noqa: F401  (used by way of this module)
 
 #: A word, everywhere in this package: a longest run of characters other than ASCII white space.
@@ -29,39 +27,6 @@ def release(*staged: DataFrame) -> None:
             delete(spark, path)
 
 
-_BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
-
-
-def bound_batches(spark: SparkSession, most: int = _BATCH_BYTES) -> None:
-    """As small_batches(), from now on, for results that run later; a bound that the session has been given stays."""
-    if spark.conf.get(_BATCH_KEY, None) is None:
-        spark.conf.set(_BATCH_KEY, str(most))
-
-
-@contextmanager
-def small_batches(spark: SparkSession, most: int = _BATCH_BYTES) -> Iterator[None]:
-    """What runs within gets Arrow batches of about `most` bytes (a longer row: by itself) instead of 10,000 rows, in the JVM and in Python.
-
-    It holds for tables that are written within, as by stage(), not for a result that is run later.
-    """
-    before = spark.conf.get(_BATCH_KEY, None)
-    spark.conf.set(_BATCH_KEY, str(most))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_BATCH_KEY)
-        else:
-            spark.conf.set(_BATCH_KEY, before)
-
-
-def parts(batches: Iterable, rows: int = 256) -> Iterator:
-    """Arrow batches cut to at most `rows` rows, so that what is made of a batch's rows is small whatever its size."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def unit_hash(*columns: Column, seed: int) -> Column:
     """A signed 64-bit hash of the columns, as good as random, the same in every run."""
     return F.xxhash64(F.lit(seed), *columns)
